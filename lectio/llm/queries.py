@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import quality, scratch, simhash
+from . import mixing, quality, scratch, simhash
+from .words import count_words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document, with its source's size and target."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("words"))
+    out = mixing.mix(scratch.cut(docs, "sizes"), F.col("words"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of the quality cascade for every document."""
     out = quality.assess(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -30,7 +38,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op10_quality": op10_quality}
+    return {"op2_simhash": op2_simhash, "op5_mixing": op5_mixing, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
