@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import mixing, quality, scratch, simhash
+from . import mixing, pii, quality, scratch, simhash
 from .words import count_words
 
 
@@ -24,6 +24,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal-data spans of every document, and the terms near them that disclose them."""
+    out = pii.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return out.select("doc_id", *counts, F.sha2(pii.render(F.col("spans")), 256).alias("base_sha256"), pii.render(pii.all_spans()).alias("spans"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document, with its source's size and target."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("words"))
@@ -38,7 +46,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op5_mixing": op5_mixing, "op10_quality": op10_quality}
+    return {"op2_simhash": op2_simhash, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
