@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import mixing, pii, quality, scratch, simhash
+from . import mixing, phrases, pii, quality, scratch, simhash
 from .words import count_words
 
 
@@ -39,6 +39,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 35-word windows that recur in the corpus."""
+    out = phrases.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of the quality cascade for every document."""
     out = quality.assess(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -46,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op10_quality": op10_quality}
+    return {"op2_simhash": op2_simhash, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_phrases": op6_phrases, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
