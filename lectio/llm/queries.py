@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import mixing, phrases, pii, quality, scratch, simhash
+from . import mixing, phrases, pieces, pii, quality, scratch, simhash
 from .words import count_words
 
 
@@ -45,6 +45,18 @@ def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Where the public tokenizer's model file is, on the driver.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of every document's piece ids, and whether they decode to the text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "text")
+    out = pieces.encode_decode(docs, PIECES)
+    digest = F.sha2(F.array_join("ids", ","), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_sha256"), (F.sha2("decoded", 256) == F.col("sha")).alias("exact"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of the quality cascade for every document."""
     out = quality.assess(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -52,7 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_phrases": op6_phrases, "op10_quality": op10_quality}
+    return {"op2_simhash": op2_simhash, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_phrases": op6_phrases, "op8_pieces": op8_pieces, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
