@@ -16,35 +16,22 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .arrowio import per_batch, utf8
+from .arrowio import Hashes, per_batch, utf8
+from .sketch import may_hold, members
 
 #: Words of an anchor.
 GRAM = 12
-#: Bits of the sketch of recurring anchors that is sent to all tasks, of fixed size (8 MB). A full sketch lets
-#: more windows through to the exact count; it never loses one.
-SKETCH_BITS = 26
 #: Words of the documents that share an automaton.
 SHARD_WORDS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-class _Hashes(dict):
-    """XXH64 of a word, remembered; forgotten when there are very many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE), np.full(n, _INVERSE)
     up[0] = down[0] = 1
@@ -62,7 +49,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Windows:
     """Hashes of runs of words of one text, from prefix sums of a polynomial in the words' hashes."""
 
-    def __init__(self, words: list[bytes], hashes: _Hashes):
+    def __init__(self, words: list[bytes], hashes: Hashes):
         n = len(words)
         own = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
         up, self.down = _powers(n + 1)
@@ -90,7 +77,7 @@ def _anchor_counts(df: DataFrame, text_col: str, window: int) -> DataFrame:
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def make(batch):
-        hashes, found = _Hashes(), []
+        hashes, found = Hashes(), []
         for x in batch.column(0):
             words = x.as_py().split()
             if len(words) >= window:
@@ -102,24 +89,13 @@ def _anchor_counts(df: DataFrame, text_col: str, window: int) -> DataFrame:
     return df.select(utf8(text_col)).mapInArrow(per_batch(make, schema), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _sketch(counts: DataFrame) -> np.ndarray:
-    """A bit for every recurring anchor, at its hash modulo the sketch's size: at most 2**20 words come back."""
-    bit = F.col("h").bitwiseAND(F.lit((1 << SKETCH_BITS) - 1))
-    flag = F.expr("shiftleft(cast(1 as bigint), cast(b & 63 as int))")
-    rows = counts.where("n > 1").select(bit.alias("b")).select(F.shiftright("b", 6).alias("word"), flag.alias("flag")).groupBy("word").agg(F.bit_or("flag").alias("flags"))
-    table = rows.toArrow()
-    sketch = np.zeros(1 << (SKETCH_BITS - 6), np.uint64)
-    sketch[table.column("word").to_numpy()] = table.column("flags").to_numpy().view(np.uint64)
-    return sketch
-
-
 def _regions(df: DataFrame, text_col: str, window: int, sketch) -> DataFrame:
     """``(id, mark, anchor, region, start, windows)``: consecutive windows of one anchor that may recur."""
     names = ["id", "mark", "anchor", "region", "start", "windows"]
     schema = pa.schema([(c, pa.int64()) for c in names[:4]] + [("start", pa.int32()), ("windows", pa.list_(pa.int64()))])
 
     def make(batch):
-        bits, hashes = sketch.value, _Hashes()
+        bits, hashes = sketch.value, Hashes()
         rows: list[list[np.ndarray]] = [[], [], [], []]
         owner, sizes = [], []
         for k, x in enumerate(batch.column(2)):
@@ -131,8 +107,7 @@ def _regions(df: DataFrame, text_col: str, window: int, sketch) -> DataFrame:
             first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
             stop = np.r_[first[1:], len(place)]
             h = grams[place[first]]
-            b = h & np.uint64((1 << SKETCH_BITS) - 1)
-            ok = (bits[b >> np.uint64(6)] >> (b & np.uint64(63)) & np.uint64(1)).astype(bool)
+            ok = may_hold(bits, h)
             if not ok.any():
                 continue
             first, stop, h = first[ok], stop[ok], h[ok]
@@ -158,7 +133,7 @@ def confirmed(df: DataFrame, text_col: str = "text", window: int = 35) -> DataFr
     Rows that agree in id and mark are one document that occurs that often.
     """
     spark = df.sparkSession
-    sketch = spark.sparkContext.broadcast(_sketch(_anchor_counts(df, text_col, window)))
+    sketch = spark.sparkContext.broadcast(members(_anchor_counts(df, text_col, window).where("n > 1").select("h")))
     rows = scratch.cut(_regions(df, text_col, window, sketch), "regions")
     folded = rows.groupBy("anchor", "region").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
     each = folded.select("anchor", "region", "n", F.posexplode("windows").alias("at", "w"))

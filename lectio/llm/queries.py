@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import mixing, phrases, pieces, pii, quality, scratch, simhash
+from . import lines, mixing, phrases, pieces, pii, quality, scratch, simhash
 from .words import count_words
 
 
@@ -45,6 +45,15 @@ def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document its lines with words, and the numbers of those that an earlier line of the corpus makes redundant."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    found = lines.removed_lines(docs)
+    out = docs.select("id", "mark").join(found, ["id", "mark"], "left")
+    none = F.expr("cast(array() as array<int>)")
+    return out.select(F.col("id").alias("doc_id"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"))
+
+
 #: Where the public tokenizer's model file is, on the driver.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -64,7 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_phrases": op6_phrases, "op8_pieces": op8_pieces, "op10_quality": op10_quality}
+    return {"op2_simhash": op2_simhash, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_phrases": op6_phrases, "op7_lines": op7_lines, "op8_pieces": op8_pieces, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
