@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import lines, mixing, phrases, pieces, pii, quality, scratch, simhash
+from . import chat, lines, mixing, neighbours, phrases, pieces, pii, quality, scratch, simhash
 from .words import count_words
 
 
@@ -24,6 +24,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest others of every vector whose id is divisible by 20."""
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal-data spans of every document, and the terms near them that disclose them."""
     out = pii.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -54,6 +59,13 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as read back from its prefix-tree pack, and one that holds control strings."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, k, r, chat.SAMPLE_TEXT) for k, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.packs(rows.unionByName(extra)))
+
+
 #: Where the public tokenizer's model file is, on the driver.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -73,8 +85,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_phrases": op6_phrases, "op7_lines": op7_lines, "op8_pieces": op8_pieces, "op10_quality": op10_quality}
+    return {"op2_simhash": op2_simhash, "op3_neighbours": op3_neighbours, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_phrases": op6_phrases, "op7_lines": op7_lines, "op8_pieces": op8_pieces, "op9_chat": op9_chat, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality": quality.oracle()}
+    return {"op9_chat": chat.ORACLE, "op10_quality": quality.oracle()}
