@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import chat, lines, mixing, neighbours, phrases, pieces, pii, quality, scratch, simhash
+from . import chat, html_crf, lines, mixing, neighbours, phrases, pieces, pii, quality, scratch, simhash
 from .words import count_words
 
 
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_crf.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document (3-word shingles, 3 bits)."""
     prints = scratch.cut(simhash.fingerprints(_table(spark, sf_dir, "documents")), "simhash")
@@ -85,7 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_neighbours": op3_neighbours, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_phrases": op6_phrases, "op7_lines": op7_lines, "op8_pieces": op8_pieces, "op9_chat": op9_chat, "op10_quality": op10_quality}
+    return {"op1_html": op1_html, "op2_simhash": op2_simhash, "op3_neighbours": op3_neighbours, "op4_pii": op4_pii, "op5_mixing": op5_mixing, "op6_phrases": op6_phrases, "op7_lines": op7_lines, "op8_pieces": op8_pieces, "op9_chat": op9_chat, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -130,19 +130,15 @@ _CHOICES = np.array(list(combinations(range(STEADY), JOINED)))
 
 
 def similarity_sketch(df: DataFrame, key_cols: list[str], text_col: str, shingle: int) -> DataFrame:
-    """``key_cols``, four fingerprint words ``w0..w3`` (256 bits) and ``steady``: the bits of the first word
-    with the largest margins, each as ``2 * bit + value``, in order of the bit. Texts without words: null."""
+    """``key_cols``, four fingerprint words ``w0..w3`` (256 bits) and ``keys``, the masked
+    patterns of the first word (see ``similar_groups``). All texts without words have the same sketch."""
     fields = [f"w{i}" for i in range(4)]
-    schema = pa.schema([(k, pa.int64()) for k in key_cols] + [(w, pa.int64()) for w in fields] + [("steady", pa.list_(pa.int32()))])
+    schema = pa.schema([(k, pa.int64()) for k in key_cols] + [(w, pa.int64()) for w in fields] + [("keys", pa.list_(pa.int32()))])
 
     def make(batch):
-        prints, steady = [], []
+        prints, keys = [], []
         for x in batch.column(len(key_cols)):
             h = shingle_hashes(x.as_py(), shingle)
-            if not len(h):
-                prints.append(None)
-                steady.append(None)
-                continue
             margins = []
             for m in MIX:
                 y = h * m
@@ -150,19 +146,18 @@ def similarity_sketch(df: DataFrame, key_cols: list[str], text_col: str, shingle
                 y *= m
                 y ^= y >> np.uint64(29)
                 margins.append(bit_margins(y))
-            top = np.sort(np.argsort(-np.abs(margins[0]), kind="stable")[:STEADY])
-            steady.append((2 * top + (margins[0][top] > 0)).astype(np.int32))
+            keys.append(mask_keys(margins[0]))
             prints.append(pack_bits(np.concatenate(margins)).view(np.int64))
         columns = {k: batch.column(i) for i, k in enumerate(key_cols)}
-        return columns | {w: [None if p is None else int(p[i]) for p in prints] for i, w in enumerate(fields)} | {"steady": steady}
+        return columns | {w: [int(p[i]) for p in prints] for i, w in enumerate(fields)} | {"keys": keys}
 
     rows = df.select(*[F.col(k).cast("long").alias(k) for k in key_cols], utf8(text_col).alias("text"))
-    ddl = ", ".join(f"{k} long" for k in key_cols + fields) + ", steady array<int>"
+    ddl = ", ".join(f"{k} long" for k in key_cols + fields) + ", keys array<int>"
     return rows.mapInArrow(per_batch(make, schema), ddl)
 
 
 def similar_groups(sketch: DataFrame, limit: int = 48) -> DataFrame:
-    """``(w0, w1, w2, w3, component)`` for each distinct 256-bit fingerprint of ``sketch(id, w0..w3, steady)``.
+    """``(w0, w1, w2, w3, root)``, equal roots for a group, for each distinct 256-bit fingerprint of ``sketch(w0..w3, keys)``.
 
     For a whole similarity instead of a few bits: a shingle similarity of 0.8 turns about 38 (48 at most,
     as measured) of 256 bits and 10 of 64, too many for exact block patterns. The masks that place a
@@ -172,26 +167,34 @@ def similar_groups(sketch: DataFrame, limit: int = 48) -> DataFrame:
     missed only if the texts share no pattern (measured recall in the README).
     """
     words = [f"w{i}" for i in range(4)]
-    found = sketch.where("w0 is not null").groupBy(*words).agg(F.min("id").alias("low"), F.first("steady").alias("steady"))
+    found = sketch.groupBy(*words).agg(F.first("keys").alias("keys"))
     distinct = scratch.cut(found.withColumn("node", F.xxhash64(*words)), "sketches")
-    tuples = F.array(*[_mask_key(choice) for choice in _CHOICES.tolist()])
-    keyed = distinct.select(F.explode(tuples).alias("key"), "node", *words)
+    keyed = distinct.select(F.explode("keys").alias("key"), "node", *words).withColumn("key", F.col("key").cast("long"))
     edges = _links(keyed, 1 << 20, words, limit)
     roots = components(edges)
-    member = distinct.join(roots, "node", "left").select("node", "low", *words, F.coalesce("root", "node").alias("root"))
-    low = member.groupBy("root").agg(F.min("low").alias("component"))
-    return member.join(low, "root").select(*words, "component")
-
-
-def _mask_key(choice: list[int]):
-    """Number of the masked pattern of the chosen steady bits, below 2**20: rank of the bit set, then the values."""
-    rank, values = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for place, i in enumerate(choice):
-        code = F.get(F.col("steady"), F.lit(i)).cast("long")
-        bit = F.shiftright(code, 1)
-        binomial = F.lit(1).cast("long")
-        for k in range(place + 1):
-            binomial = binomial * (bit - k)
-        rank = rank + (binomial / F.lit([1, 2, 6][place])).cast("long")
-        values = values * 2 + code.bitwiseAND(F.lit(1).cast("long"))
-    return rank * (1 << len(choice)) + values
+    member = distinct.join(roots, "node", "left").select(*words, F.coalesce("root", "node").alias("root"))
+    return member
+
+
+def mask_keys(margins: np.ndarray) -> np.ndarray:
+    """A number below 41664 * 8 for each choice of ``JOINED`` of the ``STEADY`` bits of largest margin: which bits, and their values."""
+    bit = np.sort(np.argsort(-np.abs(margins), kind="stable")[:STEADY])[_CHOICES]
+    value = margins[bit] > 0
+    rank = bit[:, 0] + bit[:, 1] * (bit[:, 1] - 1) // 2 + bit[:, 2] * (bit[:, 2] - 1) * (bit[:, 2] - 2) // 6
+    return (rank * 8 + value @ np.array([4, 2, 1])).astype(np.int32)
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, limit: int = 48) -> DataFrame:
+    """``df`` less all but one row of each group of near copies: the one of smallest id, then smallest text hash.
+
+    Groups come from ``similar_groups``; rows that agree in id and text are one document. A null id comes first.
+    Texts are shuffled once, to meet the ids that stay.
+    """
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
+    sketch = scratch.cut(similarity_sketch(rows, ["id", "mark"], "text", shingle), "sketch")
+    words = [f"w{i}" for i in range(4)]
+    stays = sketch.join(similar_groups(sketch, limit), words).groupBy("root").agg(F.min(F.struct("id", "mark")).alias("s")).select("s.*")
+    stays = stays.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"))
+    joined = df.withColumn("_m", mark).join(stays, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left_semi")
+    return joined.dropDuplicates([id_col, "_m"]).drop("_m")
