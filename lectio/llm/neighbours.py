@@ -34,7 +34,8 @@ def pivots(vectors: DataFrame) -> np.ndarray:
     seen = list(dict.fromkeys(tuple(r[0]) for r in rows))
     sizes = [len(v) for v in seen]
     size = max(set(sizes), key=sizes.count) if seen else 0
-    return np.array([v for v in seen if len(v) == size][:PIVOTS], np.float64).reshape(-1, size)
+    same = [v for v in seen if len(v) == size][:PIVOTS]
+    return np.array(same, np.float64).reshape(len(same), size)
 
 
 def bands(x: np.ndarray, pivot: np.ndarray) -> np.ndarray:
