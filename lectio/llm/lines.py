@@ -29,9 +29,6 @@ SIMILAR = (4, 5)
 BUCKETS = 1 << 16
 #: Bytes of text that are hashed at once.
 PART = 8 << 20
-#: Rows of one list that are compared at once.
-BLOCK = 2048
-
 
 def _parts(batch: pa.RecordBatch, text: int):
     """Row ranges of about ``PART`` bytes of text each."""
@@ -56,12 +53,15 @@ class LineSets:
         self.words = words
         self.owner, self.number = np.array(owner, np.int64), np.array(number, np.int32)
         h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        line = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((h, line))
-        h, line = h[order], line[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])][: len(h)]
+        line = np.repeat(np.arange(len(size), dtype=np.uint64), size)
+        # one sort on line and hash together; what a line's words keep of their hash is over 32 bits
+        self.spare = np.uint64(max(1, len(size)).bit_length())
+        key = line << (np.uint64(64) - self.spare) | h >> self.spare
+        order = np.argsort(key, kind="stable")
+        key, h, line = key[order], h[order], line[order]
+        new = np.r_[True, key[1:] != key[:-1]][: len(h)]
         self.at = order[new]
-        self.h, self.line = h[new], line[new]
+        self.h, self.line = h[new], line[new].astype(np.int64)
         self.start = np.flatnonzero(np.r_[True, self.line[1:] != self.line[:-1]][: len(self.line)])
         self.n = np.diff(np.r_[self.start, len(self.line)])
         if len(self.h):
@@ -69,12 +69,18 @@ class LineSets:
             self.k1 = np.add.reduceat(x ^ (x >> np.uint64(29)), self.start)
             x = (self.h ^ (self.h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
             self.k2 = np.add.reduceat(x ^ (x >> np.uint64(32)), self.start)
-            self.bits = np.bitwise_or.reduceat(np.uint64(1) << (self.h >> np.uint64(20) & np.uint64(63)), self.start)
+            # parities: two sets differ in as many words at least as their parities differ in bits
+            bit = np.uint64(1) << (self.h >> np.uint64(20) & np.uint64(63))
+            half = (self.h >> np.uint64(26) & np.uint64(1)).astype(bool)
+            self.bits = np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), self.start)
+            self.bits2 = np.bitwise_xor.reduceat(np.where(half, np.uint64(0), bit), self.start)
         else:
-            self.k1 = self.k2 = self.bits = np.zeros(0, np.uint64)
+            self.k1 = self.k2 = self.bits = self.bits2 = np.zeros(0, np.uint64)
 
 
 def _rarity(df: DataFrame) -> np.ndarray:
+    """The rank of each hash bucket of words, from the rarest."""
+
     def run(batches):
         counts, hashes = np.zeros(BUCKETS, np.int64), Hashes()
         for batch in batches:
@@ -88,7 +94,7 @@ def _rarity(df: DataFrame) -> np.ndarray:
     table = df.select(utf8("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
-    return out
+    return np.argsort(np.argsort(out, kind="stable"), kind="stable")
 
 
 def _line_rows(df: DataFrame, rarity) -> DataFrame:
@@ -102,7 +108,8 @@ def _line_rows(df: DataFrame, rarity) -> DataFrame:
                 s = LineSets(batch, 2, a, z, hashes)
                 if not len(s.n):
                     continue
-                order = np.lexsort((s.h, order_of[(s.h >> np.uint64(48)).astype(np.int64)], s.line))
+                rare = order_of[(s.h >> np.uint64(48)).astype(np.int64)].astype(np.uint64)
+                order = np.argsort(s.line.astype(np.uint64) << (np.uint64(64) - s.spare) | rare << (np.uint64(48) - s.spare) | (s.h & np.uint64((1 << 48) - 1)) >> s.spare, kind="stable")
                 place = np.arange(len(s.h)) - np.repeat(s.start, s.n)
                 length = s.n - (num * s.n + den - 1) // den + 1
                 head = place < np.repeat(length, s.n)
@@ -110,11 +117,11 @@ def _line_rows(df: DataFrame, rarity) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(prefix))
                 own = pa.array(s.owner)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(own), batch.column(1).take(own), pa.array(s.number), pa.array(s.k1.view(np.int64)), pa.array(s.k2.view(np.int64)), pa.array(s.n.astype(np.int32)), pa.array(s.bits.view(np.int64)), lists],
-                    names=["id", "mark", "number", "k1", "k2", "n", "bits", "prefix"],
+                    [batch.column(0).take(own), batch.column(1).take(own), pa.array(s.number), pa.array(s.k1.view(np.int64)), pa.array(s.k2.view(np.int64)), pa.array(s.n.astype(np.int32)), pa.array(s.bits.view(np.int64)), pa.array(s.bits2.view(np.int64)), lists],
+                    names=["id", "mark", "number", "k1", "k2", "n", "bits", "bits2", "prefix"],
                 )
 
-    return df.select("id", "mark", utf8("text")).mapInArrow(run, "id long, mark long, number int, k1 long, k2 long, n int, bits long, prefix array<int>")
+    return df.select("id", "mark", utf8("text")).mapInArrow(run, "id long, mark long, number int, k1 long, k2 long, n int, bits long, bits2 long, prefix array<int>")
 
 
 def _candidates(posted: DataFrame, every: bool) -> DataFrame:
@@ -124,45 +131,43 @@ def _candidates(posted: DataFrame, every: bool) -> DataFrame:
     """
     num, den = SIMILAR
 
+    def fits(c: dict, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        ny, nx = c["n"][y], c["n"][x]
+        need = -(-num * (ny + nx) // (num + den))
+        ok = (den * np.minimum(ny, nx) >= num * np.maximum(ny, nx)) & (c["k1"][y] != c["k1"][x])
+        ok &= np.minimum(c["place"][y], c["place"][x]) + np.minimum(ny - c["place"][y], nx - c["place"][x]) >= need
+        apart = np.bitwise_count(c["bits"][y] ^ c["bits"][x]).astype(np.int64) + np.bitwise_count(c["bits2"][y] ^ c["bits2"][x])
+        return ok & (ny + nx - apart >= 2 * need)
+
     def run(batches):
         for table in slabs(batches, ["word"]):
-            word = table.column("word").to_numpy()
-            cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1], True])
-            long_ = cut[1:] - cut[:-1] > 1
-            if not long_.any():
-                continue
-            n, place, k, id_, number = (table.column(c).to_numpy(zero_copy_only=False) for c in ("n", "place", "k1", "id", "number"))
-            known = table.column("id").is_valid().to_numpy(zero_copy_only=False) if table.column("id").null_count else np.ones(len(n), bool)
-            id_ = np.where(known, id_, 0).astype(np.int64)
-            bits = table.column("bits").to_numpy().view(np.uint64)
-            asks = table.column("open").to_numpy(zero_copy_only=False)
+            c = {k: table.column(k).to_numpy(zero_copy_only=False) for k in ("word", "n", "place", "k1", "number", "open")}
+            known = table.column("id").is_valid().to_numpy(zero_copy_only=False)
+            id_ = np.where(known, table.column("id").fill_null(0).to_numpy(), 0)
+            order = np.lexsort((c["number"], id_, known, c["word"]))
+            c = {k: v[order].astype(np.int64) for k, v in c.items()} | {k: table.column(k).to_numpy()[order].view(np.uint64) for k in ("bits", "bits2")}
+            known, id_ = known[order], id_[order]
+            cut = np.flatnonzero(np.r_[True, c["word"][1:] != c["word"][:-1], True])
+            size = np.diff(cut)
+            first, last = np.repeat(cut[:-1], size), np.repeat(cut[1:], size)
+            me = np.arange(len(first))
+            tie = np.r_[False, (c["word"][1:] == c["word"][:-1]) & (known[1:] == known[:-1]) & (id_[1:] == id_[:-1]) & (c["number"][1:] == c["number"][:-1])]
+            tied = tie | np.r_[tie[1:], False][: len(tie)]
             left, right = [], []
-            for a, z in zip(cut[:-1][long_].tolist(), cut[1:][long_].tolist()):
-                order = a + np.lexsort((number[a:z], id_[a:z], known[a:z]))
-                for y0 in range(0, len(order), BLOCK):
-                    ys = order[y0 : y0 + BLOCK]
-                    ys = ys[asks[ys]]
-                    todo = np.ones(len(ys), bool)
-                    # equal positions come in either order, so a block also looks at its own later rows
-                    for x0 in range(0, min(y0 + BLOCK, len(order)), BLOCK):
-                        xs = order[x0 : x0 + BLOCK]
-                        if not every and not todo.any():
-                            break
-                        Y, X = ys[:, None], xs[None, :]
-                        need = -(-num * (n[Y] + n[X]).astype(np.int64) // (num + den))
-                        ok = (den * np.minimum(n[Y], n[X]).astype(np.int64) >= num * np.maximum(n[Y], n[X])) & (k[Y] != k[X])
-                        ok &= np.minimum(place[Y], place[X]) + np.minimum(n[Y] - place[Y], n[X] - place[X]) >= need
-                        ok &= n[Y] + n[X] - np.bitwise_count(bits[Y] ^ bits[X]) >= 2 * need
-                        ok &= (known[X] < known[Y]) | ((known[X] == known[Y]) & ((id_[X] < id_[Y]) | ((id_[X] == id_[Y]) & (number[X] <= number[Y]))))
-                        if every:
-                            i, j = np.nonzero(ok)
-                        else:
-                            ok &= todo[:, None]
-                            i = np.flatnonzero(ok.any(axis=1))
-                            j = ok[i].argmax(axis=1)
-                            todo[i] = False
-                        left.append(k[ys[i]])
-                        right.append(k[xs[j]])
+            # each row meets the rows of its list from the first on, one step for all lists at a time; rows of
+            # equal position may come in either order, so those meet all of their list
+            todo = me[(c["open"] == 1) & (last - first > 1)]
+            step = 0
+            while len(todo):
+                x = first[todo] + step
+                inside = (x < todo) | (tied[todo] & (x < last[todo]))
+                todo, x = todo[inside], x[inside]
+                ok = fits(c, todo, x)
+                left.append(c["k1"][todo[ok]])
+                right.append(c["k1"][x[ok]])
+                if not every:
+                    todo = todo[~ok]
+                step += 1
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["y", "x"])
 
@@ -170,6 +175,17 @@ def _candidates(posted: DataFrame, every: bool) -> DataFrame:
     return rows.mapInArrow(run, "y long, x long").distinct()
 
 
+def _in_lists(posted: DataFrame, sketch) -> DataFrame:
+    """The posted rows whose word the sketch may hold, so that only lists that are asked again are shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            word = batch.column(batch.schema.get_field_index("word")).to_numpy().astype(np.int64).view(np.uint64)
+            yield batch.filter(pa.array(may_hold(sketch.value, word)))
+
+    return posted.mapInArrow(run, posted.schema)
+
+
 def _words_of(df: DataFrame, sketch) -> DataFrame:
     """``(k1, k2, words)`` of the lines whose class the sketch may hold."""
 
@@ -212,23 +228,24 @@ def removed_lines(df: DataFrame) -> DataFrame:
     one row. Null ids come before all others. Documents without any word have no row.
     """
     spark = df.sparkSession
-    rows = _line_rows(df, spark.sparkContext.broadcast(_rarity(df)))
+    rows = scratch.cut(_line_rows(df, spark.sparkContext.broadcast(_rarity(df))), "lines")
     position = F.struct("id", "number", "mark")
-    classes = rows.groupBy("k1", "k2").agg(F.min(position).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    classes = classes.select("k1", "k2", "n", "bits", "prefix", F.col("first.id").alias("id"), F.col("first.number").alias("number"), F.col("first.mark").alias("mark"))
+    classes = rows.groupBy("k1", "k2").agg(F.min(position).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"), F.first("prefix").alias("prefix"))
+    classes = classes.select("k1", "k2", "n", "bits", "bits2", "prefix", F.col("first.id").alias("id"), F.col("first.number").alias("number"), F.col("first.mark").alias("mark"))
     classes = scratch.cut(classes, "classes")
-    posted = classes.select("k1", "n", "bits", "id", "number", F.posexplode("prefix").alias("place", "word"))
+    posted = classes.select("k1", "n", "bits", "bits2", "id", "number", F.posexplode("prefix").alias("place", "word"))
     named = scratch.cut(_candidates(posted.withColumn("open", F.lit(True)), False), "named")
     found = scratch.cut(_verified(df, named, classes), "found")
     open_ = named.select(F.col("y").alias("k1")).distinct().join(found.select("k1"), "k1", "left_anti").withColumn("open", F.lit(True))
     open_ = scratch.cut(open_, "open")
     if not open_.isEmpty():
-        touched = posted.join(open_, "k1", "left_semi").select("word").distinct()
-        again = posted.join(touched, "word", "left_semi").join(open_, "k1", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        asking = posted.join(open_, "k1", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        lists = spark.sparkContext.broadcast(members(asking.where("open").select(F.col("word").cast("long").alias("w"))))
+        again = _in_lists(asking, lists)
         rest = scratch.cut(_candidates(again, True).join(named, ["y", "x"], "left_anti"), "rest")
         found = found.unionByName(_verified(df, rest, classes)).distinct()
     judged = classes.select("k1", "k2", position.alias("first")).join(found.withColumn("late", F.lit(True)), ["k1", "k2"], "left")
-    own = _line_rows(df, spark.sparkContext.broadcast(np.zeros(BUCKETS, np.int64))).select("id", "mark", "number", "k1", "k2")
+    own = rows.select("id", "mark", "number", "k1", "k2")
     gone = F.col("late").isNotNull() | (position != F.col("first"))
     lines = own.join(judged, ["k1", "k2"]).select("id", "mark", "number", gone.alias("gone"))
     numbers = F.collect_set(F.when(F.col("gone"), F.col("number")))
