@@ -136,9 +136,13 @@ def confirmed(df: DataFrame, text_col: str = "text", window: int = 35) -> DataFr
     sketch = spark.sparkContext.broadcast(members(_anchor_counts(df, text_col, window).where("n > 1").select("h")))
     rows = scratch.cut(_regions(df, text_col, window, sketch), "regions")
     folded = rows.groupBy("anchor", "region").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
+    folded = scratch.cut(folded, "folded")
     each = folded.select("anchor", "region", "n", F.posexplode("windows").alias("at", "w"))
     counted = each.groupBy("anchor", "w").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("anchor", "w")
-    held = each.join(counted, ["anchor", "w"]).groupBy("anchor", "region").agg(F.collect_list("at").alias("ats"))
+    # a region that occurs twice or more recurs with all its windows; only windows of the others are looked up
+    lone = each.where("n = 1").select("anchor", "w", "region", "at").join(counted, ["anchor", "w"]).groupBy("anchor", "region").agg(F.collect_list("at").alias("ats"))
+    whole = folded.where("n > 1").select("anchor", "region", F.sequence(F.lit(0), F.size("windows") - 1).alias("ats"))
+    held = lone.unionByName(whole)
     located = rows.select("id", "mark", "anchor", "region", "start").join(held, ["anchor", "region"])
     starts = F.transform("ats", lambda a: a + F.col("start"))
     return located.groupBy("id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(starts)))).alias("starts"))
