@@ -8,7 +8,8 @@ A line is the set of its words. It is removed if an earlier line of the corpus h
    exact, a rarer first word only makes shorter lists. Each class posts its prefix: two sets as similar as asked
    share a word there.
 3. Within a word's list the length and positional filters apply, and a bound from 64-bit bitmaps of the sets.
-   Each class names its earliest possible match per list; those are verified on the words themselves. Only
+   Each class names its earliest possible match per list; those are verified on the whole sets,
+   words as 64-bit hashes (two words of one pair that collide, one chance in 2^64, would count as equal). Only
    classes whose named matches all fail come back with every other candidate of their lists.
 """
 
@@ -50,7 +51,6 @@ class LineSets:
                     owner.append(row)
                     number.append(k)
                     size.append(len(own))
-        self.words = words
         self.owner, self.number = np.array(owner, np.int64), np.array(number, np.int32)
         h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
         line = np.repeat(np.arange(len(size), dtype=np.uint64), size)
@@ -60,7 +60,6 @@ class LineSets:
         order = np.argsort(key, kind="stable")
         key, h, line = key[order], h[order], line[order]
         new = np.r_[True, key[1:] != key[:-1]][: len(h)]
-        self.at = order[new]
         self.h, self.line = h[new], line[new].astype(np.int64)
         self.start = np.flatnonzero(np.r_[True, self.line[1:] != self.line[:-1]][: len(self.line)])
         self.n = np.diff(np.r_[self.start, len(self.line)])
@@ -187,7 +186,7 @@ def _in_lists(posted: DataFrame, sketch) -> DataFrame:
 
 
 def _words_of(df: DataFrame, sketch) -> DataFrame:
-    """``(k1, k2, words)`` of the lines whose class the sketch may hold."""
+    """``(k1, k2, words)`` of the lines whose class the sketch may hold; words as their 64-bit hashes."""
 
     def run(batches):
         held, hashes = sketch.value, Hashes()
@@ -198,11 +197,10 @@ def _words_of(df: DataFrame, sketch) -> DataFrame:
                 if not ok.any():
                     continue
                 keep = np.repeat(ok, s.n)
-                words = pa.array([s.words[i] for i in s.at[keep].tolist()], pa.binary())
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(s.n[ok])].astype(np.int32)), words)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(s.n[ok])].astype(np.int32)), pa.array(s.h[keep].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(s.k1[ok].view(np.int64)), pa.array(s.k2[ok].view(np.int64)), lists], names=["k1", "k2", "words"])
 
-    out = df.select(utf8("text")).mapInArrow(run, "k1 long, k2 long, words array<binary>")
+    out = df.select(utf8("text")).mapInArrow(run, "k1 long, k2 long, words array<long>")
     return out.groupBy("k1", "k2").agg(F.first("words").alias("words"))
 
 
