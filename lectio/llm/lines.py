@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -39,13 +39,14 @@ def _parts(batch: pa.RecordBatch, text: int):
 
 
 class LineSets:
-    """The word sets of all lines with a word, in rows ``[a, z)`` of a batch."""
+    """The word sets of all lines with a word, or of those that ``wanted(row, lines)`` numbers, in rows ``[a, z)`` of a batch."""
 
-    def __init__(self, batch: pa.RecordBatch, text: int, a: int, z: int, hashes: Hashes):
+    def __init__(self, batch: pa.RecordBatch, text: int, a: int, z: int, hashes: Hashes, wanted=None):
         words, owner, number, size = [], [], [], []
         for row in range(a, z):
-            for k, line in enumerate(batch.column(text)[row].as_py().split(b"\n")):
-                own = line.split()
+            lines = batch.column(text)[row].as_py().split(b"\n")
+            for k in range(len(lines)) if wanted is None else wanted(row, len(lines)):
+                own = lines[k].split()
                 if own:
                     words += own
                     owner.append(row)
@@ -185,22 +186,31 @@ def _in_lists(posted: DataFrame, sketch) -> DataFrame:
     return posted.mapInArrow(run, posted.schema)
 
 
+#: An odd factor that spreads line numbers over the bits of a sketch; a line number times it stays below 2^63.
+STEP = 2_654_435_761
+
+
+def _place() -> Column:
+    """What a sketch knows of the columns ``mark`` and ``number``; ``_words_of`` computes the same."""
+    return F.col("mark").bitwiseXOR(F.col("number").cast("long") * F.lit(STEP))
+
+
 def _words_of(df: DataFrame, sketch) -> DataFrame:
-    """``(k1, k2, words)`` of the lines whose class the sketch may hold; words as their 64-bit hashes."""
+    """``(k1, k2, words)`` of the lines whose place the sketch may hold; words as their 64-bit hashes. Other lines are not parsed."""
 
     def run(batches):
         held, hashes = sketch.value, Hashes()
         for batch in batches:
-            for a, z in _parts(batch, 0):
-                s = LineSets(batch, 0, a, z, hashes)
-                ok = may_hold(held, s.k1) if len(s.n) else np.zeros(0, bool)
-                if not ok.any():
+            marks = batch.column(0).to_numpy()
+            wanted = lambda row, n: np.flatnonzero(may_hold(held, (marks[row] ^ np.arange(n) * STEP).view(np.uint64))).tolist()  # noqa: B023, E731
+            for a, z in _parts(batch, 1):
+                s = LineSets(batch, 1, a, z, hashes, wanted)
+                if not len(s.n):
                     continue
-                keep = np.repeat(ok, s.n)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(s.n[ok])].astype(np.int32)), pa.array(s.h[keep].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(s.k1[ok].view(np.int64)), pa.array(s.k2[ok].view(np.int64)), lists], names=["k1", "k2", "words"])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(s.n)].astype(np.int32)), pa.array(s.h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(s.k1.view(np.int64)), pa.array(s.k2.view(np.int64)), lists], names=["k1", "k2", "words"])
 
-    out = df.select(utf8("text")).mapInArrow(run, "k1 long, k2 long, words array<long>")
+    out = df.select("mark", utf8("text")).mapInArrow(run, "k1 long, k2 long, words array<long>")
     return out.groupBy("k1", "k2").agg(F.first("words").alias("words"))
 
 
@@ -208,10 +218,11 @@ def _verified(df: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """``(k1, k2)`` of classes y with a pair (y, x) whose words are similar and whose x comes first."""
     num, den = SIMILAR
     spark = df.sparkSession
-    named = pairs.select(F.explode(F.array("y", "x")).alias("k"))
-    sketch = spark.sparkContext.broadcast(members(named))
-    sets = _words_of(df, sketch).join(classes.select("k1", "k2", F.struct("id", "number", "mark").alias("first")), ["k1", "k2"])
-    sets = scratch.cut(sets.join(named.distinct(), F.col("k1") == F.col("k"), "left_semi"), "sets")
+    named = pairs.select(F.explode(F.array("y", "x")).alias("k1")).distinct()
+    named = classes.select("k1", "k2", F.struct("id", "number", "mark").alias("first"), _place().alias("place")).join(named, "k1", "left_semi")
+    named = scratch.cut(named, "wanted")
+    sketch = spark.sparkContext.broadcast(members(named.select("place")))
+    sets = scratch.cut(_words_of(df, sketch).join(named.drop("place"), ["k1", "k2"]), "sets")
     y = sets.select(F.col("k1").alias("y"), "k2", F.col("words").alias("wy"), F.col("first").alias("fy"))
     x = sets.select(F.col("k1").alias("x"), F.col("words").alias("wx"), F.col("first").alias("fx"))
     both = F.size(F.array_intersect("wy", "wx"))
@@ -220,7 +231,7 @@ def _verified(df: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def removed_lines(df: DataFrame) -> DataFrame:
-    """``(id, mark, n_lines, removed)`` for rows ``(id, mark, text)``: the sorted numbers, from 0, of lines that go.
+    """``(id, mark, n_lines, removed)`` for rows ``(id, mark, text)``, mark a hash of the text: the sorted numbers, from 0, of lines that go.
 
     Lines without a word are not counted and stay. Rows that agree in id and mark are one document and get
     one row. Null ids come before all others. Documents without any word have no row.
