@@ -175,17 +175,6 @@ def _candidates(posted: DataFrame, every: bool) -> DataFrame:
     return rows.mapInArrow(run, "y long, x long").distinct()
 
 
-def _in_lists(posted: DataFrame, sketch) -> DataFrame:
-    """The posted rows whose word the sketch may hold, so that only lists that are asked again are shuffled."""
-
-    def run(batches):
-        for batch in batches:
-            word = batch.column(batch.schema.get_field_index("word")).to_numpy().astype(np.int64).view(np.uint64)
-            yield batch.filter(pa.array(may_hold(sketch.value, word)))
-
-    return posted.mapInArrow(run, posted.schema)
-
-
 #: An odd factor that spreads line numbers over the bits of a sketch; a line number times it stays below 2^63.
 STEP = 2_654_435_761
 
@@ -248,9 +237,8 @@ def removed_lines(df: DataFrame) -> DataFrame:
     open_ = named.select(F.col("y").alias("k1")).distinct().join(found.select("k1"), "k1", "left_anti").withColumn("open", F.lit(True))
     open_ = scratch.cut(open_, "open")
     if not open_.isEmpty():
-        asking = posted.join(open_, "k1", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        lists = spark.sparkContext.broadcast(members(asking.where("open").select(F.col("word").cast("long").alias("w"))))
-        again = _in_lists(asking, lists)
+        asking = classes.join(open_, "k1", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        again = asking.select("k1", "n", "bits", "bits2", "id", "number", "open", F.posexplode("prefix").alias("place", "word"))
         rest = scratch.cut(_candidates(again, True).join(named, ["y", "x"], "left_anti"), "rest")
         found = found.unionByName(_verified(df, rest, classes)).distinct()
     judged = classes.select("k1", "k2", position.alias("first")).join(found.withColumn("late", F.lit(True)), ["k1", "k2"], "left")
