@@ -1,9 +1,7 @@
-"""SimHash fingerprints of word shingles, and near-duplicate groups by a Gray-order hierarchical index."""
+"""SimHash fingerprints of word shingles with groups by a Gray-order hierarchical index, and near copies by an exact shingle-set join."""
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -14,11 +12,10 @@ from . import scratch
 from .arrowio import per_batch, slabs, utf8
 from .graph import components
 from .grayindex import gray_rank, link
+from .sketch import may_hold, members
 
 #: Rows of one key group that a single task compares; larger groups are dealt out as pairs of blocks.
 BLOCK = 8192
-#: Odd multipliers that draw further words of fingerprint bits from one shingle hash.
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -124,77 +121,183 @@ def _shift(value: str, block: str, width: int, blocks: int):
     return out
 
 
-#: Bits that stand out most in a text's fingerprint, and how many of them one index key joins.
-STEADY, JOINED = 8, 3
-_CHOICES = np.array(list(combinations(range(STEADY), JOINED)))
+#: Least Jaccard similarity of the shingle sets of near copies, as a fraction.
+SIMILAR = (4, 5)
+#: Hash buckets of the rarity counts: 2 MB to every task, whatever the data.
+RARITY = 1 << 18
+#: Pairs that a task gathers before it hands them on.
+PAIRS = 1 << 20
 
 
-def similarity_sketch(df: DataFrame, key_cols: list[str], text_col: str, shingle: int) -> DataFrame:
-    """``key_cols``, four fingerprint words ``w0..w3`` (256 bits) and ``keys``, the masked
-    patterns of the first word (see ``similar_groups``). All texts without words have the same sketch."""
-    fields = [f"w{i}" for i in range(4)]
-    schema = pa.schema([(k, pa.int64()) for k in key_cols] + [(w, pa.int64()) for w in fields] + [("keys", pa.list_(pa.int32()))])
+def _shingle_sets(batch: pa.RecordBatch, text: int, shingle: int) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes(x.as_py(), shingle)) for x in batch.column(text)]
 
-    def make(batch):
-        prints, keys = [], []
-        for x in batch.column(len(key_cols)):
-            h = shingle_hashes(x.as_py(), shingle)
-            margins = []
-            for m in MIX:
-                y = h * m
-                y ^= y >> np.uint64(32)
-                y *= m
-                y ^= y >> np.uint64(29)
-                margins.append(bit_margins(y))
-            keys.append(mask_keys(margins[0]))
-            prints.append(pack_bits(np.concatenate(margins)).view(np.int64))
-        columns = {k: batch.column(i) for i, k in enumerate(key_cols)}
-        return columns | {w: [int(p[i]) for p in prints] for i, w in enumerate(fields)} | {"keys": keys}
-
-    rows = df.select(*[F.col(k).cast("long").alias(k) for k in key_cols], utf8(text_col).alias("text"))
-    ddl = ", ".join(f"{k} long" for k in key_cols + fields) + ", keys array<int>"
-    return rows.mapInArrow(per_batch(make, schema), ddl)
-
-
-def similar_groups(sketch: DataFrame, limit: int = 48) -> DataFrame:
-    """``(w0, w1, w2, w3, root)``, equal roots for a group, for each distinct 256-bit fingerprint of ``sketch(w0..w3, keys)``.
-
-    For a whole similarity instead of a few bits: a shingle similarity of 0.8 turns about 38 (48 at most,
-    as measured) of 256 bits and 10 of 64, too many for exact block patterns. The masks that place a
-    fingerprint in the index are therefore its own steadiest bits: every choice of ``JOINED`` of its
-    ``STEADY`` bits of largest margin is a masked pattern, and two texts that share one meet below it,
-    where the Gray-order index compares all 256 bits. The links found are exact in distance; a pair is
-    missed only if the texts share no pattern (measured recall in the README).
+
+def _set_key(own: np.ndarray) -> int:
+    """A name of a shingle set: XXH64 of its sorted hashes, as a signed number."""
+    h = xxhash.xxh64_intdigest(own.astype("<u8", copy=False).tobytes())
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _list_array(parts: list[np.ndarray]) -> pa.ListArray:
+    values = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)), pa.array(values))
+
+
+def _shingle_rarity(rows: DataFrame, shingle: int) -> np.ndarray:
+    """The rank of each hash bucket of shingles, from the rarest."""
+
+    def run(batches):
+        counts = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for own in _shingle_sets(batch, 0, shingle):
+                counts += 0 if not len(own) else np.bincount((own >> np.uint64(46)).astype(np.int64), minlength=RARITY)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
+
+    table = rows.select(utf8("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(RARITY, np.int64)
+    out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+    return np.argsort(np.argsort(out, kind="stable"), kind="stable")
+
+
+def _prefixes(rows: DataFrame, shingle: int, rarity) -> DataFrame:
+    """``(id, mark, node, n, prefix)`` of rows ``(id, mark, text)``: the set's name and size, and its rarest shingles.
+
+    A set of ``n`` shingles shares at least ``SIMILAR`` of them with a near copy, so both have one of the first
+    ``n - ceil(n * SIMILAR) + 1`` in common, whatever the order.
     """
-    words = [f"w{i}" for i in range(4)]
-    found = sketch.groupBy(*words).agg(F.first("keys").alias("keys"))
-    distinct = scratch.cut(found.withColumn("node", F.xxhash64(*words)), "sketches")
-    keyed = distinct.select(F.explode("keys").alias("key"), "node", *words).withColumn("key", F.col("key").cast("long"))
-    edges = _links(keyed, 1 << 20, words, limit)
-    roots = components(edges)
-    member = distinct.join(roots, "node", "left").select(*words, F.coalesce("root", "node").alias("root"))
-    return member
+    num, den = SIMILAR
+    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
+    def make(batch):
+        order_of = rarity.value
+        sets = _shingle_sets(batch, 2, shingle)
+        heads = []
+        for own in sets:
+            n = len(own)
+            order = np.lexsort((own, order_of[(own >> np.uint64(46)).astype(np.int64)]))
+            heads.append(own[order[: n - (num * n + den - 1) // den + 1]])
+        return {"id": batch.column(0), "mark": batch.column(1), "node": [_set_key(own) for own in sets], "n": [len(own) for own in sets], "prefix": _list_array(heads)}
 
-def mask_keys(margins: np.ndarray) -> np.ndarray:
-    """A number below 41664 * 8 for each choice of ``JOINED`` of the ``STEADY`` bits of largest margin: which bits, and their values."""
-    bit = np.sort(np.argsort(-np.abs(margins), kind="stable")[:STEADY])[_CHOICES]
-    value = margins[bit] > 0
-    rank = bit[:, 0] + bit[:, 1] * (bit[:, 1] - 1) // 2 + bit[:, 2] * (bit[:, 2] - 1) * (bit[:, 2] - 2) // 6
-    return (rank * 8 + value @ np.array([4, 2, 1])).astype(np.int32)
+    out = rows.select("id", "mark", utf8("text"))
+    return out.mapInArrow(per_batch(make, schema), "id long, mark long, node long, n int, prefix array<long>")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, limit: int = 48) -> DataFrame:
+def _shared(posted: DataFrame) -> DataFrame:
+    """The rows ``(word, node, n, place)`` whose word is in more than one set's prefix."""
+
+    def run(batches):
+        for table in slabs(batches, ["word"]):
+            word = table.column("word").to_numpy()
+            new = np.r_[True, word[1:] != word[:-1]]
+            held = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+            if held.any():
+                yield from table.filter(pa.array(held)).combine_chunks().to_batches()
+
+    rows = posted.repartition("word").sortWithinPartitions("word")
+    return rows.mapInArrow(run, "word long, node long, n int, place int")
+
+
+def _candidates(shared: DataFrame, every: bool) -> DataFrame:
+    """``(y, x)``: sets of one word's list, x no larger than y and of another ``root``, that pass the length and positional filters.
+
+    The first such x for each y of a list, or every one.
+    """
+    num, den = SIMILAR
+
+    def run(batches):
+        for table in slabs(batches, ["word"]):
+            word, node, n, place, root = (table.column(k).to_numpy() for k in ("word", "node", "n", "place", "root"))
+            order = np.lexsort((node, n, word))
+            word, node, root = word[order], node[order], root[order]
+            n, place = n[order].astype(np.int64), place[order].astype(np.int64)
+            listed = (np.cumsum(np.r_[True, word[1:] != word[:-1]]) - 1) << 32
+            first = np.searchsorted(listed | n, listed | -(-num * n // den))
+            todo = np.flatnonzero(first < np.arange(len(n)))
+            left, right, held, step = [], [], 0, 0
+            while len(todo):
+                x = first[todo] + step
+                inside = x < todo
+                todo, x = todo[inside], x[inside]
+                need = -(-num * (n[todo] + n[x]) // (num + den))
+                ok = (root[todo] != root[x]) & (np.minimum(place[todo], place[x]) + np.minimum(n[todo] - place[todo], n[x] - place[x]) >= need)
+                left.append(node[todo[ok]])
+                right.append(node[x[ok]])
+                held += len(left[-1])
+                if not every:
+                    todo = todo[~ok]
+                step += 1
+                if held and (held >= PAIRS or not len(todo)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["y", "x"])
+                    left, right, held = [], [], 0
+
+    rows = shared.repartition("word").sortWithinPartitions("word")
+    return rows.mapInArrow(run, "y long, x long").distinct()
+
+
+def _verified(rows: DataFrame, shingle: int, pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges ``(u, v)``: the pairs ``(y, x)`` whose whole shingle sets have a Jaccard similarity of ``SIMILAR`` or more.
+
+    Only texts of named sets are parsed again; ``known(node, mark)`` finds them.
+    """
+    num, den = SIMILAR
+    spark = rows.sparkSession
+    named = pairs.select(F.explode(F.array("y", "x")).alias("node")).distinct()
+    marks = known.join(named, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"))
+    sketch = spark.sparkContext.broadcast(members(marks.select("mark")))
+
+    def run(batches):
+        for batch in batches:
+            some = batch.filter(pa.array(may_hold(sketch.value, batch.column(0).to_numpy().view(np.uint64))))
+            if some.num_rows:
+                sets = _shingle_sets(some, 1, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array([_set_key(own) for own in sets], pa.int64()), _list_array(sets)], names=["node", "words"])
+
+    sets = rows.select("mark", utf8("text")).mapInArrow(run, "node long, words array<long>")
+    sets = scratch.cut(sets.join(named, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "sets")
+    y = sets.select(F.col("node").alias("y"), F.col("words").alias("wy"))
+    x = sets.select(F.col("node").alias("x"), F.col("words").alias("wx"))
+    both = F.size(F.array_intersect("wy", "wx")).cast("long")
+    hit = pairs.join(x, "x").join(y, "y").where((num + den) * both >= num * (F.size("wy") + F.size("wx")))
+    return hit.select(F.col("y").alias("u"), F.col("x").alias("v"))
+
+
+def near_copies(rows: DataFrame, shingle: int) -> DataFrame:
+    """``(id, mark, root)`` of rows ``(id, mark, text)``, mark a hash of the text: equal roots for a group of near copies.
+
+    Texts whose sets of ``shingle``-word runs have a Jaccard similarity of ``SIMILAR`` or more are linked, and
+    links are merged to groups. The join is exact up to 64-bit hashes of shingles and of sets: each set posts its
+    rarest shingles (``_prefixes``), sets that meet there and pass the filters are compared whole. Each set
+    first names one candidate per list; the groups that those make are not compared inside again, and every
+    other pair of a list is.
+    """
+    spark = rows.sparkSession
+    rarity = spark.sparkContext.broadcast(_shingle_rarity(rows, shingle))
+    own = scratch.cut(_prefixes(rows, shingle, rarity), "shingles")
+    known = own.select("node", "mark")
+    posted = own.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("node", "n", F.posexplode("prefix").alias("place", "word"))
+    shared = scratch.cut(_shared(posted.select("word", "node", "n", "place")), "shared")
+    named = scratch.cut(_candidates(shared.withColumn("root", F.col("node")), False), "named")
+    edges = scratch.cut(_verified(rows, shingle, named, known), "links")
+    roots = scratch.cut(components(edges), "roots")
+    apart = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = scratch.cut(_candidates(apart, True).join(named, ["y", "x"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        more = _verified(rows, shingle, rest, known)
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    return own.select("id", "mark", "node").join(roots, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``df`` less all but one row of each group of near copies: the one of smallest id, then smallest text hash.
 
-    Groups come from ``similar_groups``; rows that agree in id and text are one document. A null id comes first.
+    Groups come from ``near_copies``; rows that agree in id and text are one document. A null id comes first.
     Texts are shuffled once, to meet the ids that stay.
     """
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = df.select(F.col(id_col).cast("long").alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
-    sketch = scratch.cut(similarity_sketch(rows, ["id", "mark"], "text", shingle), "sketch")
-    words = [f"w{i}" for i in range(4)]
-    stays = sketch.join(similar_groups(sketch, limit), words).groupBy("root").agg(F.min(F.struct("id", "mark")).alias("s")).select("s.*")
+    stays = near_copies(rows, shingle).groupBy("root").agg(F.min(F.struct("id", "mark")).alias("s")).select("s.*")
     stays = stays.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"))
     joined = df.withColumn("_m", mark).join(stays, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left_semi")
     return joined.dropDuplicates([id_col, "_m"]).drop("_m")
