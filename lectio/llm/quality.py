@@ -71,7 +71,7 @@ def base_failed() -> Column:
 
 
 #: Rules of the verdict, as SQL that is true where a document is rejected. ``{t}`` is the text, never null.
-#: Each needs only the text, so that a rejected document pays for no later rule.
+#: Each needs only the text, so that a rejected document pays for no later rule. Lines count if they have a word.
 RULES: dict[str, str] = {
     "few_words": r"regexp_count({t}, '[^\\x20\\x09-\\x0D]+') < 20",
     "symbols": r"5 * (length({t}) - length(regexp_replace({t}, '[#*$%&|<>]+', ''))) > regexp_count({t}, '[^\\x20\\x09-\\x0D]+')",
@@ -79,7 +79,7 @@ RULES: dict[str, str] = {
     "capitals": r"2 * regexp_count({t}, '[A-Z]') > length({t})",
     "letterless": r"2 * length(regexp_replace({t}, '[\\x20\\x09-\\x0D\\p{L}]+', '')) > length(regexp_replace({t}, '[\\x20\\x09-\\x0D]+', ''))",
     "word_length": r"length(regexp_replace({t}, '[\\x20\\x09-\\x0D]+', '')) NOT BETWEEN 2 * regexp_count({t}, '[^\\x20\\x09-\\x0D]+') AND 15 * regexp_count({t}, '[^\\x20\\x09-\\x0D]+')",
-    "repeated_lines": r"10 * (size(split({t}, '\n')) - size(array_distinct(split({t}, '\n')))) > 4 * size(split({t}, '\n'))",
+    "repeated_lines": r"get(transform(array(filter(split({t}, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')), l -> 10 * (size(l) - size(array_distinct(l))) > 4 * size(l)), 0)",
 }
 
 
