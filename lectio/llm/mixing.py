@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ SHARE = 1.5
 MOST = 2
 #: Rows of one (source, size) that a single window partition ranks.
 RANKED = 4096
-#: Words that the dynamic programme covers after the proportional and greedy parts.
+#: Words of the even share that are undone first where the rest cannot be met.
 WINDOW = 1 << 16
 
 
@@ -42,28 +44,35 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
 def fit_budget(sizes: list[int], counts: list[int], budget: float) -> list[int]:
     """How many documents of each size to take, at most ``counts``, so that the words come nearest ``budget``.
 
-    The same share of every size is taken first, so the choice looks like the source. What is left of the
-    budget goes to the largest sizes that fit, down to ``WINDOW`` words, and a bounded-knapsack dynamic
-    programme over the remaining documents (bit sets of reachable sums, counts split in powers of two)
-    fits the last part exactly, or as near below as sums allow.
+    The same share of all documents is taken first, spread evenly over the sizes from the largest down, so the
+    choice looks like the source and stays below the budget by less than one document. A bounded-knapsack
+    dynamic programme over the remaining documents (bit sets of reachable sums, counts split in powers of two)
+    fits the rest. Where it finds no sum that is as near as the sizes' common divisor allows, it is run again
+    with ``WINDOW`` words of the share undone, then with ever more, at last over all documents and the whole budget.
     """
     total = sum(s * c for s, c in zip(sizes, counts))
     if budget >= total:
         return list(counts)
-    part = budget / total if total else 0.0
-    take = [min(c, int(part * c)) if s else 0 for s, c in zip(sizes, counts)]
-    rest = budget - sum(s * t for s, t in zip(sizes, take))
+    near, window, best, best_off = max(0.5, math.gcd(*sizes) / 2), 0, None, math.inf
+    while True:
+        take = _even_share(sizes, counts, max(0.0, budget - window) / total if total else 0.0)
+        rest = budget - sum(s * t for s, t in zip(sizes, take))
+        found, off = _knapsack(sizes, [c - t for c, t in zip(counts, take)], rest)
+        if off < best_off:
+            best, best_off = [t + f for t, f in zip(take, found)], off
+        if best_off <= near + 1e-6 or not any(take):
+            return best
+        window = 4 * window or WINDOW
+
+
+def _even_share(sizes: list[int], counts: list[int], part: float) -> list[int]:
+    """``part`` of all documents with a word: of the ``k`` largest always the whole part of ``part * k``."""
+    take, seen = [0] * len(sizes), 0
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        if sizes[i] and rest - sizes[i] >= WINDOW:
-            more = min(counts[i] - take[i], int((rest - WINDOW) // sizes[i]))
-            take[i] += more
-            rest -= more * sizes[i]
-    found, off = _knapsack(sizes, [c - t for c, t in zip(counts, take)], rest)
-    if off > 0.5 and total <= WINDOW:  # so few documents that the even share stands in the way
-        again, off_again = _knapsack(sizes, counts, budget)
-        if off_again < off:
-            return again
-    return [t + f for t, f in zip(take, found)]
+        if sizes[i]:
+            take[i] = int(part * (seen + counts[i])) - int(part * seen)
+            seen += counts[i]
+    return take
 
 
 def _knapsack(sizes: list[int], counts: list[int], budget: float) -> tuple[list[int], float]:
