@@ -23,8 +23,6 @@ _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?!\p{N})"
 #: Code points on either side of a mention whose terms count as occurring with it.
 NEAR = 80
-#: Documents in which an entity and a term must meet before they are judged.
-SUPPORT = 2
 #: A term discloses an entity if their pointwise mutual information reaches this share of the entity's own information.
 DISCLOSED = 0.85
 
@@ -120,8 +118,8 @@ def detect(df: DataFrame, text_col: str = "text") -> DataFrame:
     Protected entities are the base values, compared without case. Over all documents, counts of documents give
     n(e), n(t) (anywhere in the text) and n(e, t) (t near a mention of e). The information of e is
     -log2 n(e)/N and the pointwise mutual information log2 n(e,t) N / (n(e) n(t)); a term that reaches
-    ``DISCLOSED`` of the entity's information, seen in ``SUPPORT`` documents at least, is in ``terms`` wherever
-    it stands near that entity, ``removed`` if it reaches all of it (it never occurs otherwise), else generalised.
+    ``DISCLOSED`` of the entity's information is in ``terms`` wherever it stands near
+    that entity, ``removed`` if it reaches all of it (it never occurs otherwise), else generalised.
 
     Null text counts as empty; rows count one by one, repeated rows and null ids too. Only counts, mentions and
     near terms are shuffled, never texts; all counts are combined before the shuffle.
@@ -132,9 +130,9 @@ def detect(df: DataFrame, text_col: str = "text") -> DataFrame:
     found = scratch.cut(found.select(F.monotonically_increasing_id().alias("rid"), *kept, "spans", near.alias("near")), "mentions")
     held = found.where(F.size("near") > 0)
     pair = held.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("x")).select("x.e", "x.t")
-    pair = pair.groupBy("e", "t").agg(F.count("*").alias("net")).where(F.col("net") >= SUPPORT)
+    pair = pair.groupBy("e", "t").agg(F.count("*").alias("net"))
     entity = F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))))
-    entities = found.where(F.size("spans") > 0).select(F.explode(entity).alias("e")).groupBy("e").agg(F.count("*").alias("ne")).where(F.col("ne") >= SUPPORT)
+    entities = found.where(F.size("spans") > 0).select(F.explode(entity).alias("e")).groupBy("e").agg(F.count("*").alias("ne"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(TERM), F.lit(0)))
     terms = df.select(F.explode(words).alias("t")).groupBy("t").agg(F.count("*").alias("nt"))
     rows = found.count()
