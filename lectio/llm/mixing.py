@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
@@ -15,6 +17,8 @@ MOST = 2
 RANKED = 4096
 #: Words of the even share that are undone first where the rest cannot be met.
 WINDOW = 1 << 16
+#: Budgets of up to so many units are met exactly; sums take an eighth of that in bytes.
+RESOLUTION = 1 << 30
 
 
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -76,30 +80,58 @@ def _even_share(sizes: list[int], counts: list[int], part: float) -> list[int]:
 
 
 def _knapsack(sizes: list[int], counts: list[int], budget: float) -> tuple[list[int], float]:
-    """Bounded-knapsack choice whose sum comes nearest ``budget``, and how far off it is."""
+    """Bounded-knapsack choice whose sum comes nearest ``budget``, and how far off it is.
+
+    Reachable sums are the bits of one number, in units of the sizes' common divisor; counts are split in powers
+    of two. Budgets of over ``RESOLUTION`` units are met to a unit of that share of the budget.
+    """
     take = [0] * len(sizes)
-    goal = max(0, int(budget + 0.5))
-    top = goal + max(sizes, default=0)
-    full, reach, items = (1 << (top + 1)) - 1, 1, []
+    unit = max(math.gcd(*sizes), 1) if sizes else 1
+    unit *= max(1, math.ceil(budget / unit / RESOLUTION))
+    goal = max(0, int(budget / unit + 0.5))
+    items: list[tuple[int, int, int]] = []
+    full, reach = (1 << (goal + max(sizes, default=0) // unit + 1)) - 1, 1
     for i in sorted(range(len(sizes)), key=lambda i: sizes[i]):
-        left, n = counts[i], 1
+        left, n, size = counts[i], 1, (2 * sizes[i] + unit) // (2 * unit)
         while sizes[i] and left and not reach >> goal & 1:
             now = min(n, left)
-            items.append((i, now, reach))
-            reach |= reach << (sizes[i] * now) & full
+            items.append((i, now, size * now))
+            reach |= reach << size * now & full
             left -= now
             n *= 2
     at = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
     above = reach >> goal
     over = goal + (above & -above).bit_length() - 1 if above else at
-    if abs(over - budget) < abs(at - budget):
+    if abs(over * unit - budget) < abs(at * unit - budget):
         at = over
-    off = abs(at - budget)
-    for i, n, before in reversed(items):
-        if not before >> at & 1:
-            take[i] += n
-            at -= n * sizes[i]
-    return take, off
+    for i, n in _chosen(items, at):
+        take[i] += n
+    return take, abs(sum(s * t for s, t in zip(sizes, take)) - budget)
+
+
+def _chosen(items: list[tuple[int, int, int]], goal: int) -> list[tuple[int, int]]:
+    """``(size's number, documents)`` of items that sum to a reachable ``goal``.
+
+    The two halves of the items are searched from 0 up and from the goal down; where they meet, the goal is split.
+    So the sums before each item need not be kept.
+    """
+    work, out = [(items, goal)], []
+    while work:
+        items, goal = work.pop()
+        if not goal:
+            continue
+        if len(items) == 1:
+            out.append(items[0][:2])
+            continue
+        half = len(items) // 2
+        up, down, full = 1, 1 << goal, (1 << (goal + 1)) - 1
+        for _, _, size in items[:half]:
+            up |= up << size & full
+        for _, _, size in items[half:]:
+            down |= down >> size
+        met = (up & down).bit_length() - 1
+        work += [(items[:half], met), (items[half:], goal - met)]
+    return out
 
 
 def _plan(sizes: DataFrame) -> DataFrame:
@@ -122,24 +154,39 @@ def _plan(sizes: DataFrame) -> DataFrame:
 def mix(df: DataFrame, size: Column, source_col: str = "source", order_cols: tuple[str, ...] = ("doc_id",), seed: int = 17) -> DataFrame:
     """``df`` with ``size, source_size, target, copies``: how often the mix takes each row, 0 to 2 times.
 
-    Documents of one source and size are interchangeable for the budget; the seeded hash of ``order_cols``
-    chooses among them, so reruns agree. Rows that agree in all of ``order_cols`` are told apart by nothing
-    that matters. A large (source, size) group is ranked in hash buckets of about ``RANKED`` rows, each with
-    its own share of the places, so that no window partition grows with the data. A null source is a source
-    of its own; null ids and sizes of 0 are ranked like any other; an empty table stays empty.
+    Documents of one source and size are interchangeable for the budget; those of least seeded hash of
+    ``order_cols`` are chosen, so reruns agree. Rows that agree in all of ``order_cols`` are told apart by nothing
+    that matters. Hashes alone are ranked, a large (source, size) group in buckets of about ``RANKED`` rows, each
+    with its own share of the places, so that no window partition grows with the data; the rows themselves meet
+    only the greatest hash that is taken. A null source is a source of its own; null ids and sizes of 0 are ranked
+    like any other; an empty table stays empty. Columns of ``df`` named as a result are replaced by it, other
+    columns may have any names but ``__``-led ones.
     """
-    sized = df.withColumn("size", size).withColumn("_h", F.xxhash64(F.lit(seed), *order_cols)).withColumn("_src", F.col(source_col))
-    plan = _plan(sized.select(F.col("_src").alias("source"), "size"))
-    plan = plan.withColumn("_buckets", F.ceil(F.col("n") / RANKED).cast("long")).withColumnsRenamed({"source": "_of", "size": "_size"})
-    same = F.col("_src").eqNullSafe(F.col("_of")) & (F.col("size") == F.col("_size"))
-    placed = sized.join(plan, same).drop("_of", "_size").withColumn("_b", F.pmod("_h", "_buckets"))
-    # only groups that are split need to know how the places fall on their buckets
-    keys = sized.select("_src", "size", "_h").join(plan.where("_buckets > 1 and extra > 0"), same)
-    keys = keys.withColumn("_b", F.pmod("_h", "_buckets")).groupBy("_src", "size", "_b").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy("_src", "size").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    keys = keys.withColumn("_before", before).select(F.col("_src").alias("_of"), F.col("size").alias("_size"), F.col("_b").alias("_bucket"), "_before")
-    placed = placed.join(keys, same & (F.col("_b") == F.col("_bucket")), "left").drop("_of", "_size", "_bucket")
-    nth = F.row_number().over(Window.partitionBy("_src", "size", "_b").orderBy("_h", *order_cols))
-    placed = placed.withColumn("_nth", nth + F.coalesce("_before", F.lit(0)))
-    copies = F.col("base") + (F.col("_nth") <= F.col("extra")).cast("long")
-    return placed.withColumn("copies", copies).drop("_h", "_src", "n", "base", "extra", "_buckets", "_b", "_before", "_nth")
+    sized = df.withColumn("__size", size).withColumn("__h", F.xxhash64(F.lit(seed), *order_cols)).withColumn("__src", F.col(source_col))
+    hashes = scratch.cut(sized.select("__src", "__size", "__h"), "hashes")
+    plan = scratch.cut(_plan(hashes.select(F.col("__src").alias("source"), F.col("__size").alias("size"))), "plan")
+    names = {"source": "__of", "size": "__s", "n": "__n", "base": "__base", "extra": "__extra", "source_size": "__total", "target": "__target"}
+    plan = plan.withColumnsRenamed(names).withColumn("__buckets", F.ceil(F.col("__n") / RANKED).cast("long"))
+    same = F.col("__src").eqNullSafe(F.col("__of")) & (F.col("__size") == F.col("__s"))
+    some = hashes.join(plan.where("__extra > 0 and __extra < __n"), same).select("__of", "__s", "__h", "__extra", F.pmod("__h", "__buckets").alias("__b"))
+    group = ["__of", "__s", "__b"]
+    counts = some.groupBy(*group).agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy("__of", "__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*[F.col(c).alias(f"{c}2") for c in group], F.coalesce(before, F.lit(0)).alias("__before"))
+    placed = some.join(counts, F.col("__of").eqNullSafe(F.col("__of2")) & (F.col("__s") == F.col("__s2")) & (F.col("__b") == F.col("__b2")))
+    placed = placed.withColumn("__nth", F.row_number().over(Window.partitionBy(*group).orderBy("__h")) + F.col("__before"))
+    equal = Window.partitionBy(*group, "__h")
+    placed = placed.withColumn("__few", F.col("__extra") - F.min("__nth").over(equal) + 1).withColumn("__many", F.count("*").over(equal))
+    # rows come in order of bucket, then hash: the last one taken tells which are, but for rows of its own hash
+    last = placed.where(F.col("__nth") == F.col("__extra")).select(F.col("__of").alias("__of2"), F.col("__s").alias("__s2"), F.col("__b").alias("__last"), F.col("__h").alias("__top"), "__few", "__many")
+    ends = scratch.cut(plan.join(last, F.col("__of").eqNullSafe(F.col("__of2")) & (F.col("__s") == F.col("__s2")), "left").drop("__of2", "__s2"), "ends")
+    met = sized.join(ends, same).withColumn("__b", F.pmod("__h", "__buckets"))
+    at_end = F.coalesce((F.col("__b") == F.col("__last")) & (F.col("__h") == F.col("__top")), F.lit(False))
+    inside = F.when(F.col("__last").isNull(), F.col("__extra") > 0).otherwise(at_end | (F.struct("__b", "__h") < F.struct("__last", "__top")))
+    met = met.withColumn("__in", inside)
+    if not ends.where("__few < __many").isEmpty():
+        tied = at_end & (F.col("__few") < F.col("__many"))
+        nth = F.row_number().over(Window.partitionBy("__src", "__size", "__h").orderBy(*order_cols))
+        met = met.where(~tied).unionByName(met.where(tied).withColumn("__in", nth <= F.col("__few")))
+    results = {"size": F.col("__size"), "source_size": F.col("__total"), "target": F.col("__target"), "copies": F.col("__base") + F.col("__in").cast("long")}
+    return met.select(*[F.col(f"`{c}`") for c in df.columns if c not in results], *[c.alias(k) for k, c in results.items()])
