@@ -1,7 +1,12 @@
 """Personal data: pattern spans, and terms that reveal them by corpus co-occurrence, in built-in functions only.
 
-The patterns' guards (``(?<!..)``, ``\\G``) and possessive repeats change no match; they keep the search linear
-in texts with very long runs.
+Protected entities are the values that the patterns find, compared without case. A document is one event: n(e),
+n(t) and n(e, t) count the documents that hold an entity, a term, and both, whatever their distance. A term
+discloses an entity if their pointwise mutual information reaches ``DISCLOSED`` of the entity's information; it is
+marked wherever it stands, in documents that do not name the entity too, and generalised or removed.
+
+The patterns' guards (``(?<!..)``, ``\\G``) and possessive repeats change no match that counts; they keep the search
+linear in texts with very long runs, and leave out runs of digits whose number no card has.
 """
 
 from __future__ import annotations
@@ -15,16 +20,16 @@ KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: Words that can reveal an entity: three letters or more, whole.
 TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?!\p{N})"
-#: Code points on either side of a mention whose terms count as occurring with it.
-NEAR = 80
 #: A term discloses an entity if their pointwise mutual information reaches this share of the entity's own information.
 DISCLOSED = 0.85
+#: Leading letters that a generalised term may keep, at least and at most.
+STEM = (3, 6)
 
 
 def bound(value: Column, f) -> Column:
@@ -32,20 +37,35 @@ def bound(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def find_all(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches: ``array<struct<start, end, value>>``, code points, end exclusive."""
+def find_all(text: Column, pattern: str, keep=None) -> Column:
+    """Leftmost non-overlapping matches: ``array<struct<start, end, value>>``, code points, end exclusive; only those whose value ``keep`` holds for.
+
+    Only kept matches grow an array, and very many matches are placed in blocks of about the square root of their
+    number, first the blocks, then the matches of each, so that no array grows by more than that many steps.
+    """
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
     parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    keep = keep or (lambda value: F.lit(True))
 
     def place(p: Column) -> Column:
-        none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+        n = F.size(p["hits"])
+        wide = F.greatest(F.lit(256), F.ceil(F.sqrt(n)).cast("int"))
+        every = F.sequence(F.lit(0), F.floor((n - 1) / wide).cast("int"))
+        block = lambda b: F.sequence(b * wide, F.least(n, (b + 1) * wide) - 1)
+        gap = lambda i: F.length(F.get(p["gaps"], i))
+        sums = F.transform(every, lambda b: F.aggregate(block(b), F.lit(0), lambda a, i: a + gap(i) + F.length(F.get(p["hits"], i))))
+        grow = lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+        firsts = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), grow, lambda a: a["out"])
 
         def step(a: Column, i: Column) -> Column:
-            start = a["at"] + F.length(F.get(p["gaps"], i))
-            end = start + F.length(F.get(p["hits"], i))
-            return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), end.alias("end"), F.get(p["hits"], i).alias("value"))).alias("out"))
+            start, value = a["at"] + gap(i), F.get(p["hits"], i)
+            end = start + F.length(value)
+            more = F.array_append(a["out"], F.struct(start.alias("start"), end.alias("end"), value.alias("value")))
+            return F.struct(end.alias("at"), F.when(keep(value), more).otherwise(a["out"]).alias("out"))
 
-        walked = F.aggregate(F.sequence(F.lit(0), F.size(p["hits"]) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-        return F.when(F.size(p["hits"]) > 0, walked).otherwise(none)
+        walk = lambda first, b: F.aggregate(block(b), F.struct(first.alias("at"), none.alias("out")), step, lambda a: a["out"])
+        many = bound(firsts, lambda f: F.flatten(F.transform(every, lambda b: walk(F.get(f, b), b))))
+        return F.when(n == 0, none).when(n <= wide, walk(F.lit(0), F.lit(0))).otherwise(many)
 
     return bound(parts, place)
 
@@ -78,7 +98,7 @@ _NONE = "cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)
 
 def _spans_of(text: Column, k: int) -> Column:
     valid = _VALID[KINDS[k]]
-    spans = F.filter(find_all(text, PATTERNS[KINDS[k]]), lambda s: valid(s["value"]))
+    spans = find_all(text, PATTERNS[KINDS[k]], valid)
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
 
 
@@ -94,57 +114,95 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """``array<struct<e, t, start, end>>``: terms near each mention, outside all base spans."""
-
-    def near(s: Column) -> Column:
-        low = F.greatest(F.lit(0), s["start"] - NEAR)
-        high = F.least(F.length(text), s["end"] + NEAR)
-        window = F.substring(text, low + 1, high - low)
+def _entities(spans: Column) -> Column:
+    """The distinct protected values of a document."""
+    return F.array_distinct(F.transform(spans, lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))))
 
-        def inside(t: Column) -> Column:
-            whole = ((t["start"] > 0) | (low == 0)) & ((low + t["end"] < high) | (high == F.length(text)))
-            return whole & ~F.exists(spans, lambda b: (b["start"] < low + t["end"]) & (low + t["start"] < b["end"]))
 
-        name = F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))
-        return F.transform(F.filter(find_all(window, TERM), inside), lambda t: F.struct(name.alias("e"), F.lower(t["value"]).alias("t"), (low + t["start"]).alias("start"), (low + t["end"]).alias("end")))
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
-    return F.flatten(F.transform(spans, near))
 
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, mark, text)``: the id as it is, a hash of the text, the text, null as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
-def detect(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` without its text, with ``rid``, ``spans`` (base spans) and ``terms``: near terms that disclose an entity.
 
-    Protected entities are the base values, compared without case. Over all documents, counts of documents give
-    n(e), n(t) (anywhere in the text) and n(e, t) (t near a mention of e). The information of e is
-    -log2 n(e)/N and the pointwise mutual information log2 n(e,t) N / (n(e) n(t)); a term that reaches
-    ``DISCLOSED`` of the entity's information is in ``terms`` wherever it stands near
-    that entity, ``removed`` if it reaches all of it (it never occurs otherwise), else generalised.
+def judge(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``(t, removed, need)``: the terms that disclose an entity; whether one never occurs without an entity; in how many documents a safe substitute must occur.
 
-    Null text counts as empty; rows count one by one, repeated rows and null ids too. Only counts, mentions and
-    near terms are shuffled, never texts; all counts are combined before the shuffle.
+    ``rows`` is ``(id, mark, text)``, ``spans`` adds their base spans, without the text, and the distinct terms of
+    those that have any. With N documents a term discloses an entity if log2(n(e,t) N / (n(e) n(t))) is
+    ``DISCLOSED`` or more of log2(N / n(e)). Entities of the same documents are judged as one. A substitute that
+    occurs in ``need`` documents or more discloses none of the entities, even if it occurs with them always.
+    """
+    total = F.lit(float(max(spans.count(), 1)))
+    held = spans.where(F.size("spans") > 0)
+    named = held.select("id", "mark", "terms", F.explode(_entities(F.col("spans"))).alias("e"))
+    # entities that occur in the same documents have equal counts with every term
+    place = F.xxhash64("id", "mark")
+    same = named.groupBy("e").agg(F.count("*").alias("ne"), *[F.sum(F.pmod(F.xxhash64(F.lit(k), place), F.lit(1 << 40))).alias(f"s{k}") for k in (1, 2)])
+    kind = ["ne", "s1", "s2"]
+    occurs = named.select("id", "mark", "e").join(same, "e").select("id", "mark", *kind).distinct()
+    copies = held.groupBy("id", "mark").agg(F.count("*").alias("copies"), F.first("terms").alias("terms"))
+    occurs = occurs.withColumnsRenamed({"id": "id_", "mark": "mark_"})
+    pairs = occurs.join(copies, (F.col("mark_") == F.col("mark")) & F.col("id_").eqNullSafe(F.col("id")))
+    met = pairs.select(*kind, "copies", F.explode("terms").alias("t")).groupBy(*kind, "t").agg(F.sum("copies").alias("net"))
+    counts = rows.select(F.explode(_terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("nt"))
+    own = -F.log2(F.col("ne") / total)
+    mutual = F.log2(F.col("net") * total / (F.col("ne") * F.col("nt")))
+    need = F.ceil(total * F.pow(F.col("ne") / total, F.lit(DISCLOSED)))
+    return met.join(counts, "t").where(mutual >= DISCLOSED * own).groupBy("t").agg(F.max(F.col("net") == F.col("nt")).alias("removed"), F.max(need).alias("need"))
+
+
+def _bucketed(terms: Column) -> Column:
+    """The structs dealt by the hash of their ``t`` into arrays of about eight."""
+    n = F.floor(F.size(terms) / 8).cast("int") + 1
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter(terms, lambda x: F.pmod(F.hash(x["t"]), n) == b))
+
+
+def _bucket(buckets: Column, value: Column) -> Column:
+    return F.get(buckets, F.pmod(F.hash(value), F.size(buckets)))
+
+
+def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, mark, spans, terms)``, a row for each of ``df``: base spans, and the spans of disclosing terms outside them.
+
+    ``removed`` tells the terms that never occur without an entity that they disclose.
+
+    Rows count one by one, repeated rows and null ids too; null text is empty; an empty table gives no rows. Other
+    columns are not read. Ties at the threshold count as disclosing. Only counts, terms and mentions are shuffled;
+    texts meet the terms found in them by a broadcast of those where they are few, else by a join on id and text hash.
     """
-    kept = [c for c in df.columns if c != text_col]
-    found = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("spans", base_spans(F.col("_text")))
-    near = F.when(F.size("spans") > 0, _contexts(F.col("_text"), F.col("spans"))).otherwise(F.expr("cast(array() as array<struct<e:string,t:string,start:int,end:int>>)"))
-    found = scratch.cut(found.select(F.monotonically_increasing_id().alias("rid"), *kept, "spans", near.alias("near")), "mentions")
-    held = found.where(F.size("near") > 0)
-    pair = held.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("x")).select("x.e", "x.t")
-    pair = pair.groupBy("e", "t").agg(F.count("*").alias("net"))
-    entity = F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))))
-    entities = found.where(F.size("spans") > 0).select(F.explode(entity).alias("e")).groupBy("e").agg(F.count("*").alias("ne"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(TERM), F.lit(0)))
-    terms = df.select(F.explode(words).alias("t")).groupBy("t").agg(F.count("*").alias("nt"))
-    rows = found.count()
-    own = -F.log2(F.col("ne") / F.lit(float(max(rows, 1))))
-    mutual = F.log2(F.col("net") * F.lit(float(max(rows, 1))) / (F.col("ne") * F.col("nt")))
-    judged = pair.join(entities, "e").join(terms, "t").where(mutual >= DISCLOSED * own)
-    judged = judged.select("e", "t", (mutual >= own).alias("removed"))
-    hits = held.select("rid", F.explode("near").alias("x")).select("rid", "x.*").join(judged, ["e", "t"])
-    hits = hits.groupBy("rid", "start", "end").agg(F.max("removed").alias("removed"))
-    hits = hits.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,removed:boolean>>)")
-    return found.drop("near").join(hits, "rid", "left").withColumn("terms", F.coalesce("terms", none))
+    rows = keyed(df, id_col, text_col)
+    terms = F.when(F.size("spans") > 0, _terms(F.col("text")))
+    spans = scratch.cut(rows.withColumn("spans", base_spans(F.col("text"))).withColumn("terms", terms).drop("text"), "mentions")
+    judged = scratch.cut(judge(rows, spans), "judged")
+    return _marked(rows, spans, judged)
+
+
+def _marked(rows: DataFrame, spans: DataFrame, judged: DataFrame) -> DataFrame:
+    """``(id, mark, spans, terms)`` of ``rows``: base spans, and those of the judged terms outside them."""
+    key = lambda df: df.withColumnsRenamed({"id": "id_", "mark": "mark_"})
+    hits = rows.select("id", "mark", F.explode(_terms(F.col("text"))).alias("t")).join(judged.select("t", "removed"), "t").select("id", "mark", F.struct("t", "removed").alias("x")).distinct()
+    hits = key(hits.groupBy("id", "mark").agg(F.sort_array(F.collect_list("x")).alias("found"))).withColumn("found", _bucketed(F.col("found")))
+    held = spans.where(F.size("spans") > 0).select("id", "mark", "spans").dropDuplicates(["id", "mark"])
+    known = held.join(hits, (F.col("mark") == F.col("mark_")) & F.col("id").eqNullSafe(F.col("id_")), "full")
+    known = known.select(F.coalesce("id", "id_").alias("id_"), F.coalesce("mark", "mark_").alias("mark_"), "spans", "found")
+    out = rows.join(scratch.cut(known, "known"), (F.col("mark") == F.col("mark_")) & F.col("id").eqNullSafe(F.col("id_")), "left")
+    out = out.withColumn("spans", F.coalesce("spans", F.expr(_NONE)))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,removed:boolean>>)")
+
+    def marked(found: Column, s: Column) -> Column:
+        same = lambda v: bound(F.lower(v), lambda w: F.exists(_bucket(found, w), lambda x: x["t"] == w))
+        free = lambda t: ~F.exists(s, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+        gone = lambda t: F.exists(_bucket(found, F.lower(t["value"])), lambda x: (x["t"] == F.lower(t["value"])) & x["removed"])
+        hit = F.filter(find_all(F.col("text"), TERM, same), free)
+        return F.transform(hit, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), gone(t).alias("removed")))
+
+    terms = F.when(F.col("found").isNull(), none).otherwise(marked(F.col("found"), F.col("spans")))
+    return out.select("id", "mark", "spans", terms.alias("terms"))
 
 
 def render(spans: Column) -> Column:
@@ -160,24 +218,55 @@ def all_spans() -> Column:
     return F.array_sort(F.concat(base, term))
 
 
+def substitutes(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """``(t, by)``: for each judged term its generalisation, its longest leading letters that are safe and a star; empty if none is.
+
+    Leading letters stand for all terms that start so. They occur in as many documents at least as the commonest
+    of those terms other than ``t``, and are safe if that is ``need`` or more.
+    """
+    least, most = STEM
+    sizes = lambda t: F.sequence(F.lit(least), F.least(F.lit(most), F.length(t) - 1))
+    stems = F.when(F.length("t") > least, F.transform(sizes("t"), lambda n: F.substring("t", F.lit(1), n))).otherwise(F.expr("cast(array() as array<string>)"))
+    asked = judged.select("t", "need", F.explode(stems).alias("stem"))
+    counts = rows.select(F.explode(_terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("nt"))
+    # the two commonest terms of each stem are enough: one of them is not t
+    top = counts.select(F.explode(stems).alias("stem"), "t", "nt").join(asked.select("stem").distinct(), "stem", "left_semi")
+    best = top.groupBy("stem").agg(F.max(F.struct("nt", "t")).alias("best"))
+    other = top.join(best, "stem").where(F.col("t") != F.col("best.t")).groupBy("stem").agg(F.max("nt").alias("second"))
+    both = best.join(other, "stem", "left").select("stem", "best", F.coalesce("second", F.lit(0)).alias("second"))
+    safe = asked.join(both, "stem").where(F.when(F.col("best.t") == F.col("t"), F.col("second")).otherwise(F.col("best.nt")) >= F.col("need"))
+    safe = safe.groupBy("t").agg(F.max(F.struct(F.length("stem"), "stem"))["stem"].alias("stem"))
+    return judged.select("t").join(safe, "t", "left").select("t", F.coalesce(F.concat("stem", F.lit("*")), F.lit("")).alias("by"))
+
+
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with its text sanitised: base values become ``[EMAIL]`` and so on, disclosing terms ``[TERM]`` or nothing.
+    """``df`` with its text sanitised: base values become ``[EMAIL]`` and so on, disclosing terms their generalisation or nothing.
 
-    The spans come back to their texts by id and text hash, so rows that agree in both share their spans.
+    A term that never occurs without its entity is removed; of the others the safe leading letters stay, if any are.
+
+    Where spans overlap, the one that starts first is replaced, and of the next what is left of it goes. Null text
+    stays null. Rows that agree in id and text get the same text; other columns may have any names.
     """
-    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    found = detect(df.select(F.col(id_col).alias("_id"), mark.alias("_mark"), F.col(text_col).alias("text")))
-    cover = F.array_sort(F.concat(
-        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["kind"]).alias("by"))),
-        F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("by"))),
-    ))
-    found = found.select("_id", "_mark", cover.alias("_cover")).where(F.size("_cover") > 0).dropDuplicates(["_id", "_mark"])
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = keyed(df, id_col, text_col)
+    terms = F.when(F.size("spans") > 0, _terms(F.col("text")))
+    spans = scratch.cut(rows.withColumn("spans", base_spans(F.col("text"))).withColumn("terms", terms).drop("text"), "mentions")
+    judged = scratch.cut(judge(rows, spans), "judged")
+    found = scratch.cut(_marked(rows, spans, judged).dropDuplicates(["id", "mark"]).where((F.size("spans") > 0) | (F.size("terms") > 0)), "spans")
+    by = substitutes(rows, judged.where(~F.col("removed")))
+    base = found.select("id", "mark", F.explode("spans").alias("s")).select("id", "mark", "s.start", "s.end", F.get(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), F.col("s.kind")).alias("by"))
+    term = found.select("id", "mark", F.explode("terms").alias("s")).select("id", "mark", "s.start", "s.end", F.lower("s.value").alias("t"))
+    term = term.join(by, "t", "left").select("id", "mark", "start", "end", F.coalesce("by", F.lit("")).alias("by"))
+    cover = base.unionByName(term).groupBy("id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end", "by"))).alias("__cover"))
+    cover = cover.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__cover")
+    text = F.col(text_col)
 
     def step(a: Column, s: Column) -> Column:
-        fresh = F.concat(a["out"], F.substring(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])), F.when(s["start"] >= a["at"], s["by"]).otherwise(F.lit("")))
-        return F.struct(fresh.alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
-
-    clean = F.aggregate("_cover", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    joined = df.withColumn("_m", mark).join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left")
-    return joined.withColumn(text_col, F.when(F.col("_cover").isNull(), F.col(text_col)).otherwise(clean)).drop("_m", "_id", "_mark", "_cover")
+        kept = F.substring(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
+        fresh = F.concat(kept, F.when(s["start"] >= a["at"], s["by"]).otherwise(F.lit("")))
+        return F.struct(F.array_append(a["out"], fresh).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(0).alias("at"))
+    clean = F.aggregate("__cover", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    mark = F.xxhash64(F.coalesce(text, F.lit("")))
+    joined = df.withColumn("__m", mark).join(cover, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left")
+    return joined.withColumn(text_col, F.when(F.col("__cover").isNull(), text).otherwise(clean)).drop("__m", "__id", "__mark", "__cover")

@@ -35,11 +35,11 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal-data spans of every document, and the terms near them that disclose them."""
-    out = pii.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Personal-data spans of every document, and the terms that disclose them."""
+    out = pii.detect(_table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
-    return out.select("doc_id", *counts, F.sha2(pii.render(F.col("spans")), 256).alias("base_sha256"), pii.render(pii.all_spans()).alias("spans"))
+    return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.render(F.col("spans")), 256).alias("base_sha256"), pii.render(pii.all_spans()).alias("spans"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +58,8 @@ def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document its lines with words, and the numbers of those that an earlier line of the corpus makes redundant."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
-    found = lines.removed_lines(docs)
-    out = docs.select("id", "mark").join(found, ["id", "mark"], "left")
-    none = F.expr("cast(array() as array<int>)")
-    return out.select(F.col("id").alias("doc_id"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"))
+    found = lines.removed_lines(docs).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
