@@ -5,12 +5,15 @@ A line is the set of its words. It is removed if an earlier line of the corpus h
 
 1. Lines of equal sets form a class, known by 128 bits of hash and by its first line. All its later lines go.
 2. Words are ordered by rarity, from counts over all texts in a fixed number of hash buckets; any order is
-   exact, a rarer first word only makes shorter lists. Each class posts its prefix: two sets as similar as asked
-   share a word there.
-3. Within a word's list the length and positional filters apply, and a bound from 64-bit bitmaps of the sets.
-   Each class names its earliest possible match per list; those are verified on the whole sets,
-   words as 64-bit hashes (two words of one pair that collide, one chance in 2^64, would count as equal). Only
-   classes whose named matches all fail come back with every other candidate of their lists.
+   exact, a rarer first word only makes shorter lists. Each class is posted under the words of its prefix: two
+   sets as similar as asked share a word there. Words with very many postings are replaced by pairs of words.
+3. Within a list the length and positional filters apply, and a bound from 128 parity bits of the sets. Each
+   class names the likeliest earlier matches of each of its lists; those are verified on the whole sets, words as
+   64-bit hashes. Classes whose named matches all fail come back in rounds, each with the next candidates of
+   their lists, until a match is verified or the lists end.
+
+Texts are read again for the sets to verify and for the lines to remove, so that no table of all lines is kept.
+Postings travel packed: one row holds many of one unit, a range of key hashes whose number grows with the data.
 """
 
 from __future__ import annotations
@@ -21,240 +24,274 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .arrowio import Hashes, slabs, utf8
+from .arrowio import utf8
+from .linesets import LEAST, NAMED, SIMILAR, LineSets, Lists, pack, postings, unpacked
 from .sketch import may_hold, members
-
-#: Least Jaccard similarity of a match, as a fraction.
-SIMILAR = (4, 5)
-#: Hash buckets of the rarity counts: 512 KB to every task, whatever the data.
-BUCKETS = 1 << 16
-#: Bytes of text that are hashed at once.
-PART = 8 << 20
-
-def _parts(batch: pa.RecordBatch, text: int):
-    """Row ranges of about ``PART`` bytes of text each."""
-    sizes = np.array([len(x.as_buffer() or b"") if x.is_valid else 0 for x in batch.column(text)])
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PART) > 0) + 1
-    return list(zip(np.r_[0, cuts].tolist(), np.r_[cuts, batch.num_rows].tolist()))
-
-
-class LineSets:
-    """The word sets of all lines with a word, or of those that ``wanted(row, lines)`` numbers, in rows ``[a, z)`` of a batch."""
-
-    def __init__(self, batch: pa.RecordBatch, text: int, a: int, z: int, hashes: Hashes, wanted=None):
-        words, owner, number, size = [], [], [], []
-        for row in range(a, z):
-            lines = batch.column(text)[row].as_py().split(b"\n")
-            for k in range(len(lines)) if wanted is None else wanted(row, len(lines)):
-                own = lines[k].split()
-                if own:
-                    words += own
-                    owner.append(row)
-                    number.append(k)
-                    size.append(len(own))
-        self.owner, self.number = np.array(owner, np.int64), np.array(number, np.int32)
-        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        line = np.repeat(np.arange(len(size), dtype=np.uint64), size)
-        # one sort on line and hash together; what a line's words keep of their hash is over 32 bits
-        self.spare = np.uint64(max(1, len(size)).bit_length())
-        key = line << (np.uint64(64) - self.spare) | h >> self.spare
-        order = np.argsort(key, kind="stable")
-        key, h, line = key[order], h[order], line[order]
-        new = np.r_[True, key[1:] != key[:-1]][: len(h)]
-        self.h, self.line = h[new], line[new].astype(np.int64)
-        self.start = np.flatnonzero(np.r_[True, self.line[1:] != self.line[:-1]][: len(self.line)])
-        self.n = np.diff(np.r_[self.start, len(self.line)])
-        if len(self.h):
-            x = self.h * np.uint64(0xD6E8FEB86659FD93)
-            self.k1 = np.add.reduceat(x ^ (x >> np.uint64(29)), self.start)
-            x = (self.h ^ (self.h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
-            self.k2 = np.add.reduceat(x ^ (x >> np.uint64(32)), self.start)
-            # parities: two sets differ in as many words at least as their parities differ in bits
-            bit = np.uint64(1) << (self.h >> np.uint64(20) & np.uint64(63))
-            half = (self.h >> np.uint64(26) & np.uint64(1)).astype(bool)
-            self.bits = np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), self.start)
-            self.bits2 = np.bitwise_xor.reduceat(np.where(half, np.uint64(0), bit), self.start)
-        else:
-            self.k1 = self.k2 = self.bits = self.bits2 = np.zeros(0, np.uint64)
+from .tokens import slices
+
+#: Bits of the hash buckets of the rarity counts: 512 KB to every task, whatever the data.
+RARITY_BITS = 16
+#: Postings of a word from which on the word's list is split by a second word.
+HOT = 4096
+#: Postings of a unit, about; units are packed and sent whole, so this bounds what a packed row holds.
+UNIT = 1 << 13
+#: Candidates of a list that a class names in the first round after the named one; each round takes sixteen times as many.
+NEXT = 256
+#: An odd factor that spreads line numbers over the bits of a sketch; a line number times it stays below 2^63.
+STRIDE = 2_654_435_761
 
 
-def _rarity(df: DataFrame) -> np.ndarray:
-    """The rank of each hash bucket of words, from the rarest."""
+def _rarity(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of each hash bucket of words, and its rank from the rarest."""
 
     def run(batches):
-        counts, hashes = np.zeros(BUCKETS, np.int64), Hashes()
+        counts = np.zeros(1 << RARITY_BITS, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                words = x.as_py().split()
-                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                counts += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+            for _, _, words in slices(batch.column(0)):
+                counts += np.bincount((words.hash >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(counts))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
 
     table = df.select(utf8("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
+    out = np.zeros(1 << RARITY_BITS, np.int64)
     out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
-    return np.argsort(np.argsort(out, kind="stable"), kind="stable")
+    return out, np.argsort(np.argsort(out, kind="stable"), kind="stable")
 
 
-def _line_rows(df: DataFrame, rarity) -> DataFrame:
-    """A row per line: id, mark, line number, class key, set size, bitmap and prefix words (32 bits each), rarest first."""
-    num, den = SIMILAR
+_CLASS = "k1 long, k2 long, id long, mark long, number int, lines long, n int, bits long, bits2 long, warm boolean, prefix array<long>"
 
-    def run(batches):
-        order_of, hashes = rarity.value, Hashes()
+
+def _classes(df: DataFrame, rarity) -> DataFrame:
+    """A row per class of equal lines: key, place of its first line, number of lines, set size, parities, whether a prefix word may be hot, prefix and one word more.
+
+    Each batch of texts folds its own equal lines first, so a very common line is one row of each batch.
+    """
+
+    def heads(batches):
+        counts, rank = rarity.value
         for batch in batches:
-            for a, z in _parts(batch, 2):
-                s = LineSets(batch, 2, a, z, hashes)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids, marks = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
+            for a, _, words in slices(batch.column(2)):
+                s = LineSets(words)
                 if not len(s.n):
                     continue
-                rare = order_of[(s.h >> np.uint64(48)).astype(np.int64)].astype(np.uint64)
-                order = np.argsort(s.line.astype(np.uint64) << (np.uint64(64) - s.spare) | rare << (np.uint64(48) - s.spare) | (s.h & np.uint64((1 << 48) - 1)) >> s.spare, kind="stable")
-                place = np.arange(len(s.h)) - np.repeat(s.start, s.n)
-                length = s.n - (num * s.n + den - 1) // den + 1
-                head = place < np.repeat(length, s.n)
-                prefix = (s.h[order][head] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(prefix))
-                own = pa.array(s.owner)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(own), batch.column(1).take(own), pa.array(s.number), pa.array(s.k1.view(np.int64)), pa.array(s.k2.view(np.int64)), pa.array(s.n.astype(np.int32)), pa.array(s.bits.view(np.int64)), pa.array(s.bits2.view(np.int64)), lists],
-                    names=["id", "mark", "number", "k1", "k2", "n", "bits", "bits2", "prefix"],
-                )
-
-    return df.select("id", "mark", utf8("text")).mapInArrow(run, "id long, mark long, number int, k1 long, k2 long, n int, bits long, bits2 long, prefix array<int>")
-
-
-def _candidates(posted: DataFrame, every: bool) -> DataFrame:
-    """``(y, x)``: classes of one list that may match, x not later than y: the earliest x for each y, or every one.
-
-    With ``every``, only rows marked ``open`` look for matches.
-    """
-    num, den = SIMILAR
+                at = a + s.owner
+                order = np.lexsort((marks[at], s.number, ids[at], known[at], s.k2, s.k1))
+                new = np.flatnonzero(np.r_[True, (s.k1[order][1:] != s.k1[order][:-1]) | (s.k2[order][1:] != s.k2[order][:-1])])
+                # lines of one place in the corpus (repeated rows) are one line
+                place = np.stack([s.k1[order].view(np.int64), s.k2[order].view(np.int64), known[at][order], ids[at][order], s.number[order], marks[at][order]])
+                fresh = np.r_[True, (place[:, 1:] != place[:, :-1]).any(axis=0)]
+                lines = np.add.reduceat(fresh.astype(np.int64), new)
+                head = order[new]
+                bits, bits2 = s.parities()
+                words_, bounds = s.prefixes(rank, RARITY_BITS)
+                often = np.r_[0, np.cumsum(counts[(words_ >> np.uint64(64 - RARITY_BITS)).astype(np.int64)] > HOT)]
+                warm = often[bounds[1:]] > often[bounds[:-1]]
+                size = (bounds[1:] - bounds[:-1])[head]
+                pick = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(bounds[:-1][head], size)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(words_[pick].view(np.int64)))
+                own = at[head]
+                columns = [s.k1[head].view(np.int64), s.k2[head].view(np.int64), pa.array(ids[own], mask=~known[own]), marks[own], s.number[head].astype(np.int32), lines, s.n[head].astype(np.int32), bits[head].view(np.int64), bits2[head].view(np.int64), warm[head], lists]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[f.split()[0] for f in _CLASS.split(", ")])
+
+    rows = df.select("id", "mark", utf8("text")).mapInArrow(heads, _CLASS)
+    first = F.struct("id", "number", "mark")
+    same = [F.first(c).alias(c) for c in ("n", "bits", "bits2", "warm", "prefix")]
+    # folded by batch already, so nothing is gained by a sort and a second fold before the shuffle
+    out = rows.repartition("k1", "k2").groupBy("k1", "k2").agg(F.min(first).alias("first"), F.sum("lines").alias("lines"), *same)
+    return out.select("k1", "k2", F.col("first.id").alias("id"), F.col("first.mark").alias("mark"), F.col("first.number").alias("number"), "lines", "n", "bits", "bits2", "warm", "prefix")
+
+
+def _hot(classes: DataFrame, counts: np.ndarray):
+    """A sketch of the prefix words with over ``HOT`` postings, or None. Only buckets with so many words in all can hold one."""
+    spark = classes.sparkSession
+    if not (counts > HOT).any():
+        return None
+    held = spark.sparkContext.broadcast(counts > HOT)
+
+    def run(batches):
+        for batch in batches:
+            word = batch.column(0).flatten().to_numpy().view(np.uint64)
+            word = word[held.value[(word >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]]
+            w, n = np.unique(word, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["w", "n"])
+
+    words = classes.where("warm").select("prefix").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
+    sketch = members(words.select("w"))
+    return spark.sparkContext.broadcast(sketch) if sketch.any() else None
+
+
+def _placed(id_: Column, number: Column) -> Column:
+    """What a sketch knows of a line's place; ``_place_hash`` computes the same."""
+    return F.coalesce(id_, F.lit(0).cast("long")).bitwiseXOR(number.cast("long") * F.lit(STRIDE))
+
+
+def _place_hash(ids: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return (ids ^ number.astype(np.int64) * STRIDE).view(np.uint64)
+
 
-    def fits(c: dict, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-        ny, nx = c["n"][y], c["n"][x]
-        need = -(-num * (ny + nx) // (num + den))
-        ok = (den * np.minimum(ny, nx) >= num * np.maximum(ny, nx)) & (c["k1"][y] != c["k1"][x])
-        ok &= np.minimum(c["place"][y], c["place"][x]) + np.minimum(ny - c["place"][y], nx - c["place"][x]) >= need
-        apart = np.bitwise_count(c["bits"][y] ^ c["bits"][x]).astype(np.int64) + np.bitwise_count(c["bits2"][y] ^ c["bits2"][x])
-        return ok & (ny + nx - apart >= 2 * need)
+_POSTED = ["id", "number", "n", "bits", "bits2", "prefix"]
+_PAIRS = "y long, yn int, x long, xn int, key long, more boolean"
+
+
+def _packed(classes: DataFrame, units: int, hot, flagged=None) -> DataFrame:
+    """``(unit, rows)``: the postings of all classes, packed by unit. A null id is written as 0 with the number -1 - number."""
 
     def run(batches):
-        for table in slabs(batches, ["word"]):
-            c = {k: table.column(k).to_numpy(zero_copy_only=False) for k in ("word", "n", "place", "k1", "number", "open")}
-            known = table.column("id").is_valid().to_numpy(zero_copy_only=False)
-            id_ = np.where(known, table.column("id").fill_null(0).to_numpy(), 0)
-            order = np.lexsort((c["number"], id_, known, c["word"]))
-            c = {k: v[order].astype(np.int64) for k, v in c.items()} | {k: table.column(k).to_numpy()[order].view(np.uint64) for k in ("bits", "bits2")}
-            known, id_ = known[order], id_[order]
-            cut = np.flatnonzero(np.r_[True, c["word"][1:] != c["word"][:-1], True])
-            size = np.diff(cut)
-            first, last = np.repeat(cut[:-1], size), np.repeat(cut[1:], size)
-            me = np.arange(len(first))
-            tie = np.r_[False, (c["word"][1:] == c["word"][:-1]) & (known[1:] == known[:-1]) & (id_[1:] == id_[:-1]) & (c["number"][1:] == c["number"][:-1])]
-            tied = tie | np.r_[tie[1:], False][: len(tie)]
-            left, right = [], []
-            # each row meets the rows of its list from the first on, one step for all lists at a time; rows of
-            # equal position may come in either order, so those meet all of their list
-            todo = me[(c["open"] == 1) & (last - first > 1)]
-            step = 0
-            while len(todo):
-                x = first[todo] + step
-                inside = (x < todo) | (tied[todo] & (x < last[todo]))
-                todo, x = todo[inside], x[inside]
-                ok = fits(c, todo, x)
-                left.append(c["k1"][todo[ok]])
-                right.append(c["k1"][x[ok]])
-                if not every:
-                    todo = todo[~ok]
-                step += 1
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["y", "x"])
-
-    rows = posted.repartition("word").sortWithinPartitions("word")
-    return rows.mapInArrow(run, "y long, x long").distinct()
+        is_hot = None if hot is None else lambda w: may_hold(hot.value, w)
+        is_flagged = None if flagged is None else lambda k: may_hold(flagged.value, k)
+        yield from pack((postings(batch, is_hot, is_flagged) for batch in batches), units)
 
+    number = F.when(F.col("id").isNull(), -1 - F.col("number")).otherwise(F.col("number")).alias("number")
+    rows = classes.where(F.col("n") >= LEAST).select(F.coalesce("id", F.lit(0).cast("long")).alias("id"), number, *_POSTED[2:])
+    return rows.mapInArrow(run, "unit long, rows binary").repartition("unit").sortWithinPartitions("unit")
 
-#: An odd factor that spreads line numbers over the bits of a sketch; a line number times it stays below 2^63.
-STEP = 2_654_435_761
 
+def _candidates(packed: DataFrame, asking=None, skip: int = 0, take: int = 0) -> DataFrame:
+    """``(y, yn, x, xn, key, more)``: places of pairs that may match, x not after y: each y's best of a list, or the ranked next ones of those ``asking``.
+
+    ``more`` is true where y may have candidates in the list of ``key`` that this round has not named.
+    """
+
+    def one(unit: np.ndarray, rows: np.ndarray):
+        lists = Lists(rows, unit)
+        if asking is None:
+            y, x, more = lists.best(NAMED)
+        else:
+            plain = np.where(lists.number >= 0, lists.number, -1 - lists.number)
+            y, x, more = lists.ranked(np.flatnonzero(may_hold(asking.value, _place_hash(lists.id, plain))), skip, take)
+        columns = [lists.id[y], lists.number[y], lists.id[x], lists.number[x], lists.key[y].astype(np.int64), more]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in _PAIRS.split(", ")])
 
-def _place() -> Column:
-    """What a sketch knows of the columns ``mark`` and ``number``; ``_words_of`` computes the same."""
-    return F.col("mark").bitwiseXOR(F.col("number").cast("long") * F.lit(STEP))
+    def run(batches):
+        for unit, rows in unpacked(batches):
+            yield one(unit, rows)
 
+    return packed.mapInArrow(run, _PAIRS)
 
-def _words_of(df: DataFrame, sketch) -> DataFrame:
-    """``(k1, k2, words)`` of the lines whose place the sketch may hold; words as their 64-bit hashes. Other lines are not parsed."""
+
+def _sets(df: DataFrame, sketch, owners) -> DataFrame:
+    """``(id, number, mark, k1, k2, words)`` of the lines whose place the sketch may hold, numbers as in postings; only texts whose id ``owners`` may hold are parsed."""
 
     def run(batches):
-        held, hashes = sketch.value, Hashes()
         for batch in batches:
-            marks = batch.column(0).to_numpy()
-            wanted = lambda row, n: np.flatnonzero(may_hold(held, (marks[row] ^ np.arange(n) * STEP).view(np.uint64))).tolist()  # noqa: B023, E731
-            for a, z in _parts(batch, 1):
-                s = LineSets(batch, 1, a, z, hashes, wanted)
+            batch = batch.filter(pa.array(may_hold(owners.value, batch.column(0).fill_null(0).to_numpy().view(np.uint64))))
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids, marks = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
+            for a, z, words in slices(batch.column(2)):
+                own = ids[a:z]
+                s = LineSets(words, lambda owner, number: may_hold(sketch.value, _place_hash(own[owner], number)))  # noqa: B023
                 if not len(s.n):
                     continue
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(s.n)].astype(np.int32)), pa.array(s.h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(s.k1.view(np.int64)), pa.array(s.k2.view(np.int64)), lists], names=["k1", "k2", "words"])
+                at = a + s.owner
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(s.n)].astype(np.int32)), pa.array(s.hash.view(np.int64)))
+                number = np.where(known[at], s.number, -1 - s.number).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(number), pa.array(marks[at]), pa.array(s.k1.view(np.int64)), pa.array(s.k2.view(np.int64)), lists], names=["id", "number", "mark", "k1", "k2", "words"])
 
-    out = df.select("mark", utf8("text")).mapInArrow(run, "k1 long, k2 long, words array<long>")
-    return out.groupBy("k1", "k2").agg(F.first("words").alias("words"))
+    return df.select("id", "mark", utf8("text")).mapInArrow(run, "id long, number int, mark long, k1 long, k2 long, words array<long>")
 
 
-def _verified(df: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(k1, k2)`` of classes y with a pair (y, x) whose words are similar and whose x comes first."""
+def _verified(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(k1, k2, id, number, mark)`` of lines y with a pair (y, x) whose words are similar and whose x comes first; numbers as in postings."""
     num, den = SIMILAR
     spark = df.sparkSession
-    named = pairs.select(F.explode(F.array("y", "x")).alias("k1")).distinct()
-    named = classes.select("k1", "k2", F.struct("id", "number", "mark").alias("first"), _place().alias("place")).join(named, "k1", "left_semi")
-    named = scratch.cut(named, "wanted")
-    sketch = spark.sparkContext.broadcast(members(named.select("place")))
-    sets = scratch.cut(_words_of(df, sketch).join(named.drop("place"), ["k1", "k2"]), "sets")
-    y = sets.select(F.col("k1").alias("y"), "k2", F.col("words").alias("wy"), F.col("first").alias("fy"))
-    x = sets.select(F.col("k1").alias("x"), F.col("words").alias("wx"), F.col("first").alias("fx"))
+    plain = lambda n: F.when(F.col(n) < 0, -1 - F.col(n)).otherwise(F.col(n))
+    places = pairs.select(F.explode(F.array(_placed(F.col("y"), plain("yn")), _placed(F.col("x"), plain("xn")))).alias("place"))
+    sketch = spark.sparkContext.broadcast(members(places))
+    owners = spark.sparkContext.broadcast(members(pairs.select(F.explode(F.array("y", "x")).alias("id"))))
+    sets = scratch.cut(_sets(df, sketch, owners), "sets")
+    x = sets.select(F.col("id").alias("x"), F.col("number").alias("xn"), F.col("mark").alias("xm"), F.col("words").alias("wx"))
+    y = sets.select(F.col("id").alias("y"), F.col("number").alias("yn"), F.col("mark").alias("ym"), "k1", "k2", F.col("words").alias("wy"))
+    place = lambda i, n, m: F.struct(F.col(n) >= 0, F.col(i), plain(n), F.col(m))
     both = F.size(F.array_intersect("wy", "wx"))
-    hit = pairs.join(x, "x").join(y, "y").where((F.col("fx") < F.col("fy")) & (den * both >= num * (F.size("wy") + F.size("wx") - both)))
-    return hit.select(F.col("y").alias("k1"), "k2").distinct()
+    met = pairs.join(x, ["x", "xn"]).join(y, ["y", "yn"])
+    hit = met.where((place("x", "xn", "xm") < place("y", "yn", "ym")) & (den * both >= num * (F.size("wy") + F.size("wx") - both)))
+    return hit.select("k1", "k2", F.col("y").alias("id"), F.col("yn").alias("number"), F.col("ym").alias("mark")).distinct()
+
+
+def _late(df: DataFrame, classes: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Verified lines of ``_verified``, over all rounds; some may not be the first of their class."""
+    spark = df.sparkSession
+    pair = ["y", "yn", "x", "xn"]
+    num, den = SIMILAR
+    prefix = F.col("n") - F.expr(f"({num} * cast(n as long) + {den - 1}) div {den}") + 1
+    total = classes.where(F.col("n") >= LEAST).agg(F.coalesce(F.sum(prefix), F.lit(0))).first()[0]
+    units = max(1, -(-total // UNIT))
+    hot = _hot(classes, counts)
+    last = scratch.cut(_candidates(_packed(classes, units, hot)), "named")
+    found = fresh = scratch.cut(_verified(df, scratch.cut(last.select(*pair).distinct(), "pairs")), "found")
+    skip, take = 0, NEXT
+    while True:
+        # a class goes on if none of its pairs held and one of its lists has more; only those lists are read again
+        done = fresh.select(F.col("id").alias("y"), F.col("number").alias("yn"))
+        open_ = scratch.cut(last.where("more").select("y", "yn", "key").distinct().join(done, ["y", "yn"], "left_anti"), "open")
+        if open_.isEmpty():
+            return found
+        place = _placed(F.col("y"), F.when(F.col("yn") < 0, -1 - F.col("yn")).otherwise(F.col("yn")))
+        asking = spark.sparkContext.broadcast(members(open_.select(place.alias("place"))))
+        keys = spark.sparkContext.broadcast(members(open_.select("key")))
+        more = _candidates(_packed(classes, units, hot, keys), asking, skip, take)
+        last = scratch.cut(more.join(open_.select("y", "yn").distinct(), ["y", "yn"], "left_semi"), "more")
+        fresh = scratch.cut(_verified(df, scratch.cut(last.select(*pair).distinct(), "pairs")), "found")
+        found = found.unionByName(fresh)
+        skip, take = skip + take, take * 16
+
+
+def _judged(df: DataFrame, judged) -> DataFrame:
+    """``(id, mark, number, k1, k2)`` of the lines whose class ``judged`` may hold, and one row of each text with a null number and its ``n_lines``."""
+
+    def run(batches):
+        names = ["id", "mark", "number", "k1", "k2", "n_lines"]
+        for batch in batches:
+            for a, z, words in slices(batch.column(2)):
+                s = LineSets(words)
+                ok = may_hold(judged.value, s.k1)
+                own, count = np.arange(a, z), np.bincount(s.owner, minlength=z - a)
+                at = pa.array(np.r_[own, a + s.owner[ok]])
+                none = lambda some, t: pa.concat_arrays([pa.nulls(len(own), t), pa.array(some, t)])  # noqa: E731, B023
+                k1, k2 = s.k1[ok].view(np.int64), s.k2[ok].view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), none(s.number[ok].astype(np.int32), pa.int32()), none(k1, pa.int64()), none(k2, pa.int64()), pa.concat_arrays([pa.array(count), pa.nulls(int(ok.sum()), pa.int64())])], names=names)
+
+    return df.select("id", "mark", utf8("text")).mapInArrow(run, "id long, mark long, number int, k1 long, k2 long, n_lines long")
 
 
 def removed_lines(df: DataFrame) -> DataFrame:
-    """``(id, mark, n_lines, removed)`` for rows ``(id, mark, text)``, mark a hash of the text: the sorted numbers, from 0, of lines that go.
+    """``(id, mark, rows, n_lines, removed)`` for rows ``(id, mark, text)``, mark a hash of the text: the sorted numbers, from 0, of lines that go.
 
     Lines without a word are not counted and stay. Rows that agree in id and mark are one document and get
-    one row. Null ids come before all others. Documents without any word have no row.
+    one row with their number. Null ids come before all others; null text is empty; an empty table gives no rows. Of equal and near lines the earliest stays; near is by each pair, so a line whose
+    only matches are later ones stays too.
     """
     spark = df.sparkSession
-    rows = scratch.cut(_line_rows(df, spark.sparkContext.broadcast(_rarity(df))), "lines")
-    position = F.struct("id", "number", "mark")
-    classes = rows.groupBy("k1", "k2").agg(F.min(position).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"), F.first("prefix").alias("prefix"))
-    classes = classes.select("k1", "k2", "n", "bits", "bits2", "prefix", F.col("first.id").alias("id"), F.col("first.number").alias("number"), F.col("first.mark").alias("mark"))
-    classes = scratch.cut(classes, "classes")
-    posted = classes.select("k1", "n", "bits", "bits2", "id", "number", F.posexplode("prefix").alias("place", "word"))
-    named = scratch.cut(_candidates(posted.withColumn("open", F.lit(True)), False), "named")
-    found = scratch.cut(_verified(df, named, classes), "found")
-    open_ = named.select(F.col("y").alias("k1")).distinct().join(found.select("k1"), "k1", "left_anti").withColumn("open", F.lit(True))
-    open_ = scratch.cut(open_, "open")
-    if not open_.isEmpty():
-        asking = classes.join(open_, "k1", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        again = asking.select("k1", "n", "bits", "bits2", "id", "number", "open", F.posexplode("prefix").alias("place", "word"))
-        rest = scratch.cut(_candidates(again, True).join(named, ["y", "x"], "left_anti"), "rest")
-        found = found.unionByName(_verified(df, rest, classes)).distinct()
-    judged = classes.select("k1", "k2", position.alias("first")).join(found.withColumn("late", F.lit(True)), ["k1", "k2"], "left")
-    own = rows.select("id", "mark", "number", "k1", "k2")
-    gone = F.col("late").isNotNull() | (position != F.col("first"))
-    lines = own.join(judged, ["k1", "k2"]).select("id", "mark", "number", gone.alias("gone"))
-    numbers = F.collect_set(F.when(F.col("gone"), F.col("number")))
-    return lines.groupBy("id", "mark").agg(F.count_distinct("number").alias("n_lines"), F.array_sort(numbers).alias("removed"))
+    counts, rank = _rarity(df)
+    rarity = spark.sparkContext.broadcast((counts, rank))
+    classes = scratch.cut(_classes(df, rarity), "classes")
+    found = _late(df, classes, counts)
+    number = F.when(F.col("number") < 0, -1 - F.col("number")).otherwise(F.col("number"))
+    place = F.struct(F.when(F.col("number") >= 0, F.col("id")).alias("id"), number.alias("number"), "mark")
+    late = scratch.cut(found.groupBy("k1", "k2").agg(F.collect_set(place).alias("places")), "late")
+    first = F.struct("id", "number", "mark")
+    judged = classes.join(late, ["k1", "k2"], "left").withColumn("late", F.coalesce(F.array_contains("places", first), F.lit(False)))
+    judged = scratch.cut(judged.where((F.col("lines") > 1) | F.col("late")).select("k1", "k2", first.alias("first"), "late"), "judged")
+    lines = _judged(df, spark.sparkContext.broadcast(members(judged.select("k1"))))
+    lines = scratch.cut(lines, "judging")
+    gone = lines.where(F.col("number").isNotNull()).join(judged, ["k1", "k2"])
+    gone = gone.where(F.col("late") | (F.struct("id", "number", "mark") != F.col("first"))).select("id", "mark", "number", F.lit(None).cast("long").alias("n_lines"))
+    every = lines.where(F.col("n_lines").isNotNull()).select("id", "mark", F.lit(None).cast("int").alias("number"), "n_lines").unionByName(gone)
+    return every.groupBy("id", "mark").agg(F.count("n_lines").alias("rows"), F.max("n_lines").alias("n_lines"), F.array_sort(F.collect_set("number")).alias("removed"))
 
 
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with its text less the removed lines, and ``n_removed``; null text stays null."""
+    """``df`` with its text less the removed lines, and ``n_removed``; null text stays null.
+
+    Rows that agree in id and text lose the same lines. Other columns may have any names, but for ``n_removed``,
+    which is set anew.
+    """
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = df.select(F.col(id_col).cast("long").alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
-    found = removed_lines(rows).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "removed").where(F.size("removed") > 0)
-    joined = df.withColumn("_m", mark).join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i)), "\n")
-    joined = joined.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(kept))
-    return joined.withColumn("n_removed", F.coalesce(F.size("removed"), F.lit(0))).drop("_m", "_id", "_mark", "removed")
+    found = removed_lines(rows).where(F.size("removed") > 0).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("removed").alias("__gone"))
+    joined = df.drop("n_removed").withColumn("__m", mark).join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    joined = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept))
+    return joined.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0))).drop("__m", "__id", "__mark", "__gone")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -12,7 +14,9 @@ from . import scratch
 from .arrowio import per_batch, slabs, utf8
 from .graph import components
 from .grayindex import gray_rank, link
+from .linesets import GROUPED, NAMED, SIMILAR, HashSets, Lists, pack, postings, unpacked
 from .sketch import may_hold, members
+from .tokens import Words, run_hashes, slices
 
 #: Rows of one key group that a single task compares; larger groups are dealt out as pairs of blocks.
 BLOCK = 8192
@@ -58,16 +62,14 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(per_batch(make, schema), "id long, fp long")
 
 
-def _links(rows: DataFrame, key_space: int, words: list[str], limit: int) -> DataFrame:
+def _links(rows: DataFrame, few_keys: bool, words: list[str], limit: int) -> DataFrame:
     """Edges ``(u, v)`` that span the links among rows of each ``key``; ``node`` names a row.
 
-    ``key_space`` bounds the number of keys, and so the broadcast table of those with over ``BLOCK`` rows.
-    Such a key's rows are split by hash into blocks, and each pair of blocks is a task group of its own.
+    The rows of a key of over ``BLOCK`` rows are split by hash into blocks, and each pair of blocks is a task group
+    of its own. With ``few_keys`` there are at most 2^20 keys, and the table of the large ones is broadcast.
     """
-    assert key_space <= 1 << 20, "the table of large keys must stay small enough to broadcast"
-    large = rows.groupBy("key").count().where(F.col("count") > BLOCK)
-    large = F.broadcast(large.select("key", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks")))
-    dealt = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    large = rows.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
+    dealt = rows.join(F.broadcast(large) if few_keys else large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", *words)
 
@@ -91,149 +93,142 @@ def _links(rows: DataFrame, key_space: int, words: list[str], limit: int) -> Dat
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(prints: DataFrame, limit: int = 3, blocks: int = 4) -> DataFrame:
+def _scheme(rows: int, limit: int) -> int:
+    """Into how many blocks a fingerprint is cut: the fewest whose patterns would have ``BLOCK / 8`` rows or less each.
+
+    Two fingerprints within ``limit`` bits agree on all but ``limit`` blocks, whatever their number, so every
+    choice finds the same pairs; more blocks make more keys of longer patterns.
+    """
+    blocks = limit + 1
+    while blocks < 2 * limit + 2 and rows >> (64 * (blocks - limit) // blocks) > BLOCK // 8:
+        blocks += 1
+    return blocks
+
+
+def fingerprint_links(distinct: DataFrame, limit: int = 3) -> DataFrame:
+    """Edges ``(u, v)`` that span the links of the distinct fingerprints ``fp``: those within ``limit`` differing bits.
+
+    Exact for any data: each fingerprint is sent under the patterns of all but ``limit`` of its blocks (the masked
+    patterns of the index's top nodes), and a Gray-order index searches within each.
+    """
+    blocks = _scheme(distinct.count(), limit)
+    bounds = [64 * k // blocks for k in range(blocks + 1)]
+    patterns, ways = [], list(combinations(range(blocks), blocks - limit))
+    for k, way in enumerate(ways):
+        value, at = F.lit(k).cast("long"), 6
+        for b in way:
+            width = bounds[b + 1] - bounds[b]
+            part = F.shiftrightunsigned("fp", bounds[b]).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+            value, at = value.bitwiseOR(F.shiftleft(part, at)), at + width
+        patterns.append(value)
+    keyed = distinct.select(F.explode(F.array(*patterns)).alias("key"), F.col("fp").alias("node"), "fp")
+    return _links(keyed, len(ways) << max(bounds[k + 1] - bounds[k] for k in range(blocks)) * (blocks - limit) <= 1 << 20, ["fp"], limit)
+
+
+def near_duplicates(prints: DataFrame, limit: int = 3) -> DataFrame:
     """``(id, fp, component)`` for rows ``(id, fp)``: fingerprints within ``limit`` differing bits are linked.
 
-    Exact for any data: fingerprints that differ in at most ``limit < blocks`` bits agree on one of ``blocks``
-    whole bit blocks, so each distinct fingerprint is sent under each of its block patterns (the masked
-    patterns of the index's top nodes), and a Gray-order index searches within each. ``component`` is the
-    smallest id reachable, itself included. Null ids take part but are never the smallest unless a
-    component has no other (then null). Equal fingerprints count once; repeated rows stay repeated.
+    ``component`` is the smallest id reachable, itself included. Null ids take part but are never the smallest
+    unless a component has no other (then null). Equal fingerprints count once; repeated rows stay repeated.
     """
-    assert limit < blocks and 64 % blocks == 0 and 64 // blocks <= 18
-    width = 64 // blocks
     distinct = scratch.cut(prints.groupBy("fp").agg(F.min("id").alias("low")), "prints")
-    keyed = distinct.withColumn("block", F.explode(F.array(*map(F.lit, range(blocks)))))
-    keyed = keyed.select((F.col("block").cast("long") * (1 << width) + _shift("fp", "block", width, blocks)).alias("key"), F.col("fp").alias("node"), "fp")
-    edges = _links(keyed, blocks << width, ["fp"], limit)
-    found = components(edges)
+    found = components(fingerprint_links(distinct, limit))
     member = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     low = member.groupBy("root").agg(F.min("low").alias("component"))
     named = member.join(low, "root").select("fp", "component")
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
-def _shift(value: str, block: str, width: int, blocks: int):
-    """The bits of block number ``block``; Spark's shifts take constants only."""
-    out = F.lit(0).cast("long")
-    for k in range(blocks):
-        out = F.when(F.col(block) == k, F.shiftrightunsigned(F.col(value), k * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))).otherwise(out)
-    return out
-
-
-#: Least Jaccard similarity of the shingle sets of near copies, as a fraction.
-SIMILAR = (4, 5)
-#: Hash buckets of the rarity counts: 2 MB to every task, whatever the data.
-RARITY = 1 << 18
-#: Pairs that a task gathers before it hands them on.
-PAIRS = 1 << 20
+#: Hash buckets of the rarity counts, in bits: 2 MB to every task, whatever the data.
+RARITY_BITS = 18
+#: Postings of a unit, about; candidates of a list that a set names in the first round after the likeliest ones.
+UNIT, NEXT = 1 << 13, 256
 
 
-def _shingle_sets(batch: pa.RecordBatch, text: int, shingle: int) -> list[np.ndarray]:
-    return [np.unique(shingle_hashes(x.as_py(), shingle)) for x in batch.column(text)]
+class ShingleSets(HashSets):
+    """The sets of word runs of some texts, A-Z lower-cased; a text of fewer words has one run, all its words."""
 
+    def __init__(self, words: Words, shingle: int):
+        size = np.diff(words.bounds)
+        owner = np.repeat(np.arange(len(size)), size)
+        runs = run_hashes(words.hash, shingle)
+        at = np.flatnonzero(np.arange(len(runs)) + shingle <= words.bounds[1:][owner[: len(runs)]])
+        few = np.flatnonzero((size > 0) & (size < shingle))
+        short = [run_hashes(words.hash[words.bounds[k] : words.bounds[k + 1]], int(size[k])) for k in few.tolist()]
+        text, h = np.r_[owner[at], few], np.concatenate([runs[at], *short])
+        order = np.argsort(text, kind="stable")
+        self.texts = len(size)
+        super().__init__(text[order], h[order])
 
-def _set_key(own: np.ndarray) -> int:
-    """A name of a shingle set: XXH64 of its sorted hashes, as a signed number."""
-    h = xxhash.xxh64_intdigest(own.astype("<u8", copy=False).tobytes())
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _list_array(parts: list[np.ndarray]) -> pa.ListArray:
-    values = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)), pa.array(values))
+    def fingerprints(self) -> np.ndarray:
+        """The 64-bit SimHash of each set that has a run."""
+        out = np.zeros(len(self.start), np.uint64)
+        stop = np.r_[self.start[1:], len(self.hash)]
+        for k, (a, z) in enumerate(zip(self.start.tolist(), stop.tolist())):
+            out[k] = pack_bits(bit_margins(self.hash[a:z]))[0]
+        return out
 
 
 def _shingle_rarity(rows: DataFrame, shingle: int) -> np.ndarray:
     """The rank of each hash bucket of shingles, from the rarest."""
 
     def run(batches):
-        counts = np.zeros(RARITY, np.int64)
+        counts = np.zeros(1 << RARITY_BITS, np.int64)
         for batch in batches:
-            for own in _shingle_sets(batch, 0, shingle):
-                counts += 0 if not len(own) else np.bincount((own >> np.uint64(46)).astype(np.int64), minlength=RARITY)
+            for _, _, words in slices(batch.column(0), fold=True):
+                own = ShingleSets(words, shingle).hash
+                counts += np.bincount((own >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(counts))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
 
     table = rows.select(utf8("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(RARITY, np.int64)
+    out = np.zeros(1 << RARITY_BITS, np.int64)
     out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
     return np.argsort(np.argsort(out, kind="stable"), kind="stable")
 
 
-def _prefixes(rows: DataFrame, shingle: int, rarity) -> DataFrame:
-    """``(id, mark, node, n, prefix)`` of rows ``(id, mark, text)``: the set's name and size, and its rarest shingles.
+_SET = "id long, mark long, node long, fp long, n int, bits long, bits2 long, prefix array<long>"
 
-    A set of ``n`` shingles shares at least ``SIMILAR`` of them with a near copy, so both have one of the first
-    ``n - ceil(n * SIMILAR) + 1`` in common, whatever the order.
-    """
-    num, den = SIMILAR
-    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
-
-    def make(batch):
-        order_of = rarity.value
-        sets = _shingle_sets(batch, 2, shingle)
-        heads = []
-        for own in sets:
-            n = len(own)
-            order = np.lexsort((own, order_of[(own >> np.uint64(46)).astype(np.int64)]))
-            heads.append(own[order[: n - (num * n + den - 1) // den + 1]])
-        return {"id": batch.column(0), "mark": batch.column(1), "node": [_set_key(own) for own in sets], "n": [len(own) for own in sets], "prefix": _list_array(heads)}
 
-    out = rows.select("id", "mark", utf8("text"))
-    return out.mapInArrow(per_batch(make, schema), "id long, mark long, node long, n int, prefix array<long>")
+def _sets(rows: DataFrame, shingle: int, rarity) -> DataFrame:
+    """``(id, mark, node, fp, n, bits, bits2, prefix)`` of rows ``(id, mark, text)``: the set's name, SimHash, size, parities, and its rarest shingles.
 
-
-def _shared(posted: DataFrame) -> DataFrame:
-    """The rows ``(word, node, n, place)`` whose word is in more than one set's prefix."""
+    A text without words has the name 0 and an empty prefix.
+    """
 
     def run(batches):
-        for table in slabs(batches, ["word"]):
-            word = table.column("word").to_numpy()
-            new = np.r_[True, word[1:] != word[:-1]]
-            held = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
-            if held.any():
-                yield from table.filter(pa.array(held)).combine_chunks().to_batches()
+        for batch in batches:
+            for a, z, words in slices(batch.column(2), fold=True):
+                s = ShingleSets(words, shingle)
+                bits, bits2 = s.parities()
+                held, bounds = s.prefixes(rarity.value, RARITY_BITS)
+                n, node, fp, some = np.zeros(z - a, np.int32), np.zeros(z - a, np.int64), np.zeros(z - a, np.int64), s.owner
+                n[some], node[some], fp[some] = s.n, s.k1.view(np.int64), s.fingerprints().view(np.int64)
+                both = [np.zeros(z - a, np.int64) for _ in range(2)]
+                both[0][some], both[1][some] = bits.view(np.int64), bits2.view(np.int64)
+                size = np.zeros(z - a, np.int64)
+                size[some] = np.diff(bounds)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(held.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), *map(pa.array, (node, fp, n, *both)), lists], names=[c.split()[0] for c in _SET.split(", ")])
 
-    rows = posted.repartition("word").sortWithinPartitions("word")
-    return rows.mapInArrow(run, "word long, node long, n int, place int")
+    return rows.select("id", "mark", utf8("text")).mapInArrow(run, _SET)
 
 
-def _candidates(shared: DataFrame, every: bool) -> DataFrame:
-    """``(y, x)``: sets of one word's list, x no larger than y and of another ``root``, that pass the length and positional filters.
+def _candidates(sets: DataFrame, units: int, first: bool, skip: int = 0, take: int = 0) -> DataFrame:
+    """``(y, x, more)``: sets of one list, of different ``root``, that the filters let pass: each y's likeliest, or the ranked next ones."""
 
-    The first such x for each y of a list, or every one.
-    """
-    num, den = SIMILAR
+    def packed(batches):
+        yield from pack((postings(batch, None, None, GROUPED) for batch in batches), units)
 
     def run(batches):
-        for table in slabs(batches, ["word"]):
-            word, node, n, place, root = (table.column(k).to_numpy() for k in ("word", "node", "n", "place", "root"))
-            order = np.lexsort((node, n, word))
-            word, node, root = word[order], node[order], root[order]
-            n, place = n[order].astype(np.int64), place[order].astype(np.int64)
-            listed = (np.cumsum(np.r_[True, word[1:] != word[:-1]]) - 1) << 32
-            first = np.searchsorted(listed | n, listed | -(-num * n // den))
-            todo = np.flatnonzero(first < np.arange(len(n)))
-            left, right, held, step = [], [], 0, 0
-            while len(todo):
-                x = first[todo] + step
-                inside = x < todo
-                todo, x = todo[inside], x[inside]
-                need = -(-num * (n[todo] + n[x]) // (num + den))
-                ok = (root[todo] != root[x]) & (np.minimum(place[todo], place[x]) + np.minimum(n[todo] - place[todo], n[x] - place[x]) >= need)
-                left.append(node[todo[ok]])
-                right.append(node[x[ok]])
-                held += len(left[-1])
-                if not every:
-                    todo = todo[~ok]
-                step += 1
-                if held and (held >= PAIRS or not len(todo)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["y", "x"])
-                    left, right, held = [], [], 0
-
-    rows = shared.repartition("word").sortWithinPartitions("word")
-    return rows.mapInArrow(run, "y long, x long").distinct()
+        for unit, rows in unpacked(batches, GROUPED):
+            lists = Lists(rows, unit)
+            y, x, more = lists.best(NAMED) if first else lists.ranked(lists.meets, skip, take)
+            yield pa.RecordBatch.from_arrays([pa.array(lists.id[y]), pa.array(lists.id[x]), pa.array(more)], names=["y", "x", "more"])
+
+    rows = sets.where("n > 0").select(F.col("node").alias("id"), F.lit(0).alias("number"), "n", "bits", "bits2", "prefix", "root")
+    dealt = rows.mapInArrow(packed, "unit long, rows binary").repartition("unit").sortWithinPartitions("unit")
+    return dealt.mapInArrow(run, "y long, x long, more boolean")
 
 
 def _verified(rows: DataFrame, shingle: int, pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -243,16 +238,17 @@ def _verified(rows: DataFrame, shingle: int, pairs: DataFrame, known: DataFrame)
     """
     num, den = SIMILAR
     spark = rows.sparkSession
-    named = pairs.select(F.explode(F.array("y", "x")).alias("node")).distinct()
+    named = scratch.cut(pairs.select(F.explode(F.array("y", "x")).alias("node")).distinct(), "asked")
     marks = known.join(named, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"))
     sketch = spark.sparkContext.broadcast(members(marks.select("mark")))
 
     def run(batches):
         for batch in batches:
             some = batch.filter(pa.array(may_hold(sketch.value, batch.column(0).to_numpy().view(np.uint64))))
-            if some.num_rows:
-                sets = _shingle_sets(some, 1, shingle)
-                yield pa.RecordBatch.from_arrays([pa.array([_set_key(own) for own in sets], pa.int64()), _list_array(sets)], names=["node", "words"])
+            for _, _, words in slices(some.column(1), fold=True):
+                s = ShingleSets(words, shingle)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(s.n)].astype(np.int32)), pa.array(s.hash.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(s.k1.view(np.int64)), lists], names=["node", "words"])
 
     sets = rows.select("mark", utf8("text")).mapInArrow(run, "node long, words array<long>")
     sets = scratch.cut(sets.join(named, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "sets")
@@ -263,41 +259,59 @@ def _verified(rows: DataFrame, shingle: int, pairs: DataFrame, known: DataFrame)
     return hit.select(F.col("y").alias("u"), F.col("x").alias("v"))
 
 
-def near_copies(rows: DataFrame, shingle: int) -> DataFrame:
+def near_copies(rows: DataFrame, shingle: int, limit: int = 3) -> DataFrame:
     """``(id, mark, root)`` of rows ``(id, mark, text)``, mark a hash of the text: equal roots for a group of near copies.
 
     Texts whose sets of ``shingle``-word runs have a Jaccard similarity of ``SIMILAR`` or more are linked, and
-    links are merged to groups. The join is exact up to 64-bit hashes of shingles and of sets: each set posts its
-    rarest shingles (``_prefixes``), sets that meet there and pass the filters are compared whole. Each set
-    first names one candidate per list; the groups that those make are not compared inside again, and every
-    other pair of a list is.
+    links are merged to groups; sets and shingles are told apart by 64-bit hashes.
+
+    1. Fingerprints of the sets within ``limit`` bits of each other, found by the Gray-order index, name candidates.
+    2. A SimHash misses pairs near the threshold, so a prefix join with length, positional and parity filters names
+       the rest: of each list first a set's likeliest partner, then in rounds all others that are not yet of its group.
+    Every candidate is verified on the whole sets before it links.
     """
     spark = rows.sparkSession
     rarity = spark.sparkContext.broadcast(_shingle_rarity(rows, shingle))
-    own = scratch.cut(_prefixes(rows, shingle, rarity), "shingles")
+    own = scratch.cut(_sets(rows, shingle, rarity), "shingles")
     known = own.select("node", "mark")
-    posted = own.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("node", "n", F.posexplode("prefix").alias("place", "word"))
-    shared = scratch.cut(_shared(posted.select("word", "node", "n", "place")), "shared")
-    named = scratch.cut(_candidates(shared.withColumn("root", F.col("node")), False), "named")
-    edges = scratch.cut(_verified(rows, shingle, named, known), "links")
+    sets = own.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "n", "bits", "bits2", "prefix")])
+    sets = scratch.cut(sets, "classes")
+    num, den = SIMILAR
+    total = sets.agg(F.coalesce(F.sum(F.col("n") - F.expr(f"({num} * cast(n as long) + {den - 1}) div {den}") + 1), F.lit(0))).first()[0]
+    units = max(1, -(-total // UNIT))
+    prints = scratch.cut(sets.where("n > 0").groupBy("fp").agg(F.min("node").alias("node")), "prints")
+    near = fingerprint_links(prints.select("fp"), limit)
+    by = lambda c: prints.select(F.col("fp").alias(c), F.col("node").alias(f"{c}n"))
+    alike = near.join(by("u"), "u").join(by("v"), "v").select(F.col("un").alias("y"), F.col("vn").alias("x"))
+    equal = sets.where("n > 0").select("fp", F.col("node").alias("y")).join(prints.select("fp", F.col("node").alias("x")), "fp").where("y <> x").select("y", "x")
+    likely = scratch.cut(_candidates(sets.withColumn("root", F.col("node")), units, True), "named")
+    pairs = scratch.cut(alike.unionByName(equal).unionByName(likely.select("y", "x")).distinct(), "pairs")
+    edges = scratch.cut(_verified(rows, shingle, pairs, known), "links")
     roots = scratch.cut(components(edges), "roots")
-    apart = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = scratch.cut(_candidates(apart, True).join(named, ["y", "x"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = _verified(rows, shingle, rest, known)
-        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-    return own.select("id", "mark", "node").join(roots, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root"))
+    skip, take = 0, NEXT
+    while True:
+        named = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = scratch.cut(_candidates(named, units, False, skip, take), "more")
+        rest = scratch.cut(more.select("y", "x").distinct().join(pairs, ["y", "x"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            pairs = pairs.unionByName(rest)
+            edges = scratch.cut(_verified(rows, shingle, rest, known), "links")
+            roots = scratch.cut(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(edges)), "roots")
+        if more.where("more").isEmpty():
+            return own.select("id", "mark", "node").join(roots, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root"))
+        skip, take = 0, take * 16
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``df`` less all but one row of each group of near copies: the one of smallest id, then smallest text hash.
 
-    Groups come from ``near_copies``; rows that agree in id and text are one document. A null id comes first.
-    Texts are shuffled once, to meet the ids that stay.
+    Groups come from ``near_copies``; rows that agree in id and text are one document. A null id comes first; texts
+    without a word, null ones too, are one group. Texts are shuffled once, to meet the ids that stay. Other columns
+    may have any names but ``__``-led ones.
     """
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = df.select(F.col(id_col).cast("long").alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
     stays = near_copies(rows, shingle).groupBy("root").agg(F.min(F.struct("id", "mark")).alias("s")).select("s.*")
-    stays = stays.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"))
-    joined = df.withColumn("_m", mark).join(stays, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left_semi")
-    return joined.dropDuplicates([id_col, "_m"]).drop("_m")
+    stays = stays.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"))
+    joined = df.withColumn("__m", mark).join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left_semi")
+    return joined.dropDuplicates([id_col, "__m"]).drop("__m")
