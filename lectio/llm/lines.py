@@ -276,6 +276,7 @@ def removed_lines(df: DataFrame) -> DataFrame:
     judged = scratch.cut(judged.where((F.col("lines") > 1) | F.col("late")).select("k1", "k2", first.alias("first"), "late"), "judged")
     lines = _judged(df, spark.sparkContext.broadcast(members(judged.select("k1"))))
     lines = scratch.cut(lines, "judging")
+    scratch.release(spark, classes, late)
     gone = lines.where(F.col("number").isNotNull()).join(judged, ["k1", "k2"])
     gone = gone.where(F.col("late") | (F.struct("id", "number", "mark") != F.col("first"))).select("id", "mark", "number", F.lit(None).cast("long").alias("n_lines"))
     every = lines.where(F.col("n_lines").isNotNull()).select("id", "mark", F.lit(None).cast("int").alias("number"), "n_lines").unionByName(gone)

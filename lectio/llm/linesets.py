@@ -52,6 +52,18 @@ class HashSets:
         half = (self.hash >> _U(26) & _U(1)).astype(bool)
         return tuple(np.bitwise_xor.reduceat(np.where(side, bit, _U(0)), self.start) for side in (half, ~half))
 
+    def wide_parities(self, bits: int) -> np.ndarray:
+        """``(sets, bits / 64)``: as ``parities``, with so many bits, for sets too large for 128."""
+        out = np.zeros((len(self.start), bits // 64), np.uint64)
+        ends = np.r_[self.start, len(self.hash)]
+        place = (self.hash >> _U(27)).astype(np.int64) % bits
+        for a in range(0, len(out), 512):
+            z = min(a + 512, len(out))
+            own = slice(ends[a], ends[z])
+            odd = np.bincount((self.line[own] - a) * bits + place[own], minlength=(z - a) * bits) & 1
+            out[a:z] = np.packbits(odd.astype(bool).reshape(z - a, bits), axis=1, bitorder="little").view("<u8")
+        return out
+
     def prefixes(self, rank: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """The rarest words of each line, rarest first: those of the prefix and one more; and the bounds of the lines in them.
 

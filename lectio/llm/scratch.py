@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,18 @@ def drop(spark: SparkSession, df: DataFrame) -> None:
     _delete(spark, df._lectio_path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of tables that nothing reads any more, and let the cluster drop the shuffle files behind them.
+
+    Spark drops a shuffle's files when the driver's collector finds its plan out of use; that may take half an
+    hour if nobody asks.
+    """
+    for df in tables:
+        drop(spark, df)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clean(spark: SparkSession) -> None:
     """Delete every scratch table of this application. Call it once all results are written."""
     _delete(spark, folder(spark))

@@ -14,7 +14,7 @@ from . import scratch
 from .arrowio import per_batch, slabs, utf8
 from .graph import components
 from .grayindex import gray_rank, link
-from .linesets import GROUPED, NAMED, SIMILAR, HashSets, Lists, pack, postings, unpacked
+from .linesets import GROUPED, NAMED, POSTING, SIMILAR, HashSets, Lists, pack, postings, unpacked
 from .sketch import may_hold, members
 from .tokens import Words, run_hashes, slices
 
@@ -139,8 +139,8 @@ def near_duplicates(prints: DataFrame, limit: int = 3) -> DataFrame:
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
-#: Hash buckets of the rarity counts, in bits: 2 MB to every task, whatever the data.
-RARITY_BITS = 18
+#: Hash buckets of the rarity counts, in bits: 512 KB to every task, whatever the data.
+RARITY_BITS = 16
 #: Postings of a unit, about; candidates of a list that a set names in the first round after the likeliest ones.
 UNIT, NEXT = 1 << 13, 256
 
@@ -187,11 +187,13 @@ def _shingle_rarity(rows: DataFrame, shingle: int) -> np.ndarray:
     return np.argsort(np.argsort(out, kind="stable"), kind="stable")
 
 
-_SET = "id long, mark long, node long, fp long, n int, bits long, bits2 long, prefix array<long>"
+#: Parity bits of a whole set, held against a pair before its sets are read.
+WIDE = 2048
+_SET = "id long, mark long, node long, fp long, n int, bits long, bits2 long, prefix array<long>, wide array<long>"
 
 
 def _sets(rows: DataFrame, shingle: int, rarity) -> DataFrame:
-    """``(id, mark, node, fp, n, bits, bits2, prefix)`` of rows ``(id, mark, text)``: the set's name, SimHash, size, parities, and its rarest shingles.
+    """``(id, mark, node, fp, n, bits, bits2, prefix, wide)`` of rows ``(id, mark, text)``: the set's name, SimHash, size, parities, rarest shingles, more parities.
 
     A text without words has the name 0 and an empty prefix.
     """
@@ -209,35 +211,59 @@ def _sets(rows: DataFrame, shingle: int, rarity) -> DataFrame:
                 size = np.zeros(z - a, np.int64)
                 size[some] = np.diff(bounds)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(held.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), *map(pa.array, (node, fp, n, *both)), lists], names=[c.split()[0] for c in _SET.split(", ")])
+                more = np.zeros((z - a, WIDE // 64), np.uint64)
+                more[some] = s.wide_parities(WIDE)
+                wide = pa.ListArray.from_arrays(pa.array(np.arange(z - a + 1, dtype=np.int32) * (WIDE // 64)), pa.array(more.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), *map(pa.array, (node, fp, n, *both)), lists, wide], names=[c.split()[0] for c in _SET.split(", ")])
 
     return rows.select("id", "mark", utf8("text")).mapInArrow(run, _SET)
 
 
-def _candidates(sets: DataFrame, units: int, first: bool, skip: int = 0, take: int = 0) -> DataFrame:
-    """``(y, x, more)``: sets of one list, of different ``root``, that the filters let pass: each y's likeliest, or the ranked next ones."""
+_NAMES = "y long, x long, key long, more boolean"
+
+
+def _candidates(sets: DataFrame, units: int, asking=None, keys=None, take: int = 0) -> DataFrame:
+    """``(y, x, key, more)``: sets of one list that the filters let pass: each y's likeliest, or of those ``asking`` the first ``take`` of other groups.
+
+    ``more`` is true where the list of ``key`` may hold others for y. With ``asking``, only the lists of ``keys``
+    are posted, and each set with its ``root``.
+    """
+    kind = POSTING if asking is None else GROUPED
 
     def packed(batches):
-        yield from pack((postings(batch, None, None, GROUPED) for batch in batches), units)
+        flagged = None if keys is None else lambda k: may_hold(keys.value, k)
+        yield from pack((postings(batch, None, flagged, kind) for batch in batches), units)
 
     def run(batches):
-        for unit, rows in unpacked(batches, GROUPED):
+        for unit, rows in unpacked(batches, kind):
             lists = Lists(rows, unit)
-            y, x, more = lists.best(NAMED) if first else lists.ranked(lists.meets, skip, take)
-            yield pa.RecordBatch.from_arrays([pa.array(lists.id[y]), pa.array(lists.id[x]), pa.array(more)], names=["y", "x", "more"])
-
-    rows = sets.where("n > 0").select(F.col("node").alias("id"), F.lit(0).alias("number"), "n", "bits", "bits2", "prefix", "root")
+            if asking is None:
+                y, x, more = lists.best(NAMED)
+            else:
+                y, x, more = lists.ranked(np.flatnonzero(may_hold(asking.value, lists.id.view(np.uint64))), 0, take)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (lists.id[y], lists.id[x], lists.key[y].astype(np.int64), more)], names=["y", "x", "key", "more"])
+
+    root = [] if asking is None else ["root"]
+    rows = sets.where("n > 0").select(F.col("node").alias("id"), F.lit(0).alias("number"), "n", "bits", "bits2", "prefix", *root)
     dealt = rows.mapInArrow(packed, "unit long, rows binary").repartition("unit").sortWithinPartitions("unit")
-    return dealt.mapInArrow(run, "y long, x long, more boolean")
+    return dealt.mapInArrow(run, _NAMES)
 
 
 def _verified(rows: DataFrame, shingle: int, pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Edges ``(u, v)``: the pairs ``(y, x)`` whose whole shingle sets have a Jaccard similarity of ``SIMILAR`` or more.
 
-    Only texts of named sets are parsed again; ``known(node, mark)`` finds them.
+    Pairs whose parities differ by more than such sets may are left out first. Of the rest only the texts of named
+    sets are parsed again; ``known(node, mark, n, wide)`` finds them.
     """
     num, den = SIMILAR
     spark = rows.sparkSession
+    each = known.join(pairs.select(F.explode(F.array("y", "x")).alias("node")).distinct(), "node", "left_semi")
+    each = scratch.cut(each.groupBy("node").agg(F.first("n").alias("n"), F.first("wide").alias("wide")), "parities")
+    of = lambda c: each.select(F.col("node").alias(c), F.col("n").cast("long").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
+    apart = F.aggregate(F.zip_with("wy", "wx", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
+    sizes = F.col("ny") + F.col("nx")
+    most = sizes - 2 * F.expr(f"({num} * (ny + nx) + {num + den - 1}) div {num + den}")
+    pairs = scratch.cut(pairs.join(of("x"), "x").join(of("y"), "y").where(apart <= most).select("y", "x"), "close")
     named = scratch.cut(pairs.select(F.explode(F.array("y", "x")).alias("node")).distinct(), "asked")
     marks = known.join(named, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"))
     sketch = spark.sparkContext.broadcast(members(marks.select("mark")))
@@ -273,9 +299,12 @@ def near_copies(rows: DataFrame, shingle: int, limit: int = 3) -> DataFrame:
     spark = rows.sparkSession
     rarity = spark.sparkContext.broadcast(_shingle_rarity(rows, shingle))
     own = scratch.cut(_sets(rows, shingle, rarity), "shingles")
-    known = own.select("node", "mark")
-    sets = own.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "n", "bits", "bits2", "prefix")])
-    sets = scratch.cut(sets, "classes")
+    known = own.select("node", "mark", "n", "wide")
+    # sets of several texts are folded; the others, most of them, are read where they are
+    several = scratch.cut(own.groupBy("node").count().where("count > 1").select("node"), "several")
+    wide = ["node", "fp", "n", "bits", "bits2", "prefix"]
+    folded = own.join(several, "node", "left_semi").select(*wide).groupBy("node").agg(*[F.first(c).alias(c) for c in wide[1:]])
+    sets = own.join(several, "node", "left_anti").select(*wide).unionByName(scratch.cut(folded, "folded"))
     num, den = SIMILAR
     total = sets.agg(F.coalesce(F.sum(F.col("n") - F.expr(f"({num} * cast(n as long) + {den - 1}) div {den}") + 1), F.lit(0))).first()[0]
     units = max(1, -(-total // UNIT))
@@ -284,22 +313,24 @@ def near_copies(rows: DataFrame, shingle: int, limit: int = 3) -> DataFrame:
     by = lambda c: prints.select(F.col("fp").alias(c), F.col("node").alias(f"{c}n"))
     alike = near.join(by("u"), "u").join(by("v"), "v").select(F.col("un").alias("y"), F.col("vn").alias("x"))
     equal = sets.where("n > 0").select("fp", F.col("node").alias("y")).join(prints.select("fp", F.col("node").alias("x")), "fp").where("y <> x").select("y", "x")
-    likely = scratch.cut(_candidates(sets.withColumn("root", F.col("node")), units, True), "named")
-    pairs = scratch.cut(alike.unionByName(equal).unionByName(likely.select("y", "x")).distinct(), "pairs")
-    edges = scratch.cut(_verified(rows, shingle, pairs, known), "links")
-    roots = scratch.cut(components(edges), "roots")
-    skip, take = 0, NEXT
+    named = scratch.cut(_candidates(sets, units), "named")
+    pairs = scratch.cut(alike.unionByName(equal).unionByName(named.select("y", "x")).distinct(), "pairs")
+    roots = scratch.cut(components(scratch.cut(_verified(rows, shingle, pairs, known), "links")), "roots")
+    take = NEXT
     while True:
-        named = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = scratch.cut(_candidates(named, units, False, skip, take), "more")
-        rest = scratch.cut(more.select("y", "x").distinct().join(pairs, ["y", "x"], "left_anti"), "rest")
+        open_ = scratch.cut(named.where("more").select("y", "key").distinct(), "open")
+        if open_.isEmpty():
+            return own.select("id", "mark", "node").join(roots, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root"))
+        asking = spark.sparkContext.broadcast(members(open_.select("y")))
+        keys = spark.sparkContext.broadcast(members(open_.select("key")))
+        grouped = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = scratch.cut(_candidates(grouped, units, asking, keys, take), "named")
+        rest = scratch.cut(named.select("y", "x").distinct().join(pairs, ["y", "x"], "left_anti"), "rest")
         if not rest.isEmpty():
             pairs = pairs.unionByName(rest)
-            edges = scratch.cut(_verified(rows, shingle, rest, known), "links")
+            edges = _verified(rows, shingle, rest, known)
             roots = scratch.cut(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(edges)), "roots")
-        if more.where("more").isEmpty():
-            return own.select("id", "mark", "node").join(roots, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root"))
-        skip, take = 0, take * 16
+        take *= 16
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
