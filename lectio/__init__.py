@@ -8,13 +8,18 @@ import zipfile
 
 __version__ = "0.1.0"
 _shipped: set[str] = set()
+#: Bytes of a batch of rows that goes to a Python worker, where the session keeps Spark's default: whole texts can be long.
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark) -> None:
-    """Send this package's code to the Python workers, once per application.
+    """Send this package's code to the Python workers, once per application, and bound the batches they get.
 
-    Workers that already have the package on their path are not affected by it.
+    Workers that already have the package on their path are not affected by the code sent.
     """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(limit, f"{BATCH_BYTES}b")
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
