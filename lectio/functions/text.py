@@ -21,17 +21,37 @@ def count_tokens(text: Column, letters: str = LETTERS) -> Column:
     return F.regexp_count(text, F.lit(f"(?iu)[{letters}]+")).cast("long")
 
 
-def token_offsets(text: Column, letters: str = LETTERS) -> Column:
-    """``array<struct<token, start>>``: tokens of the text with the place of their first character, from 0."""
-    hits, gaps = F.regexp_extract_all(F.lower(text), F.lit(f"[{letters}]+"), F.lit(0)), F.split(F.lower(text), f"[{letters}]+", -1)
-    none = F.expr("cast(array() as array<struct<token:string,start:int>>)")
+def placed(gaps: Column, hits: Column) -> Column:
+    """Where each of the ``hits`` starts in the text that they and the ``gaps`` before them make up: ``array<int>``, from 0.
+
+    Blocks of about the square root of the hits are placed first, then the hits of each, so that no array grows by
+    more steps than that.
+    """
+    none, known = F.expr("cast(array() as array<int>)"), F.transform(F.array(F.struct(gaps.alias("gaps"), hits.alias("hits"))), lambda p: p)
+
+    def place(p: Column) -> Column:
+        n = F.size(p["hits"])
+        wide = F.greatest(F.lit(64), F.ceil(F.sqrt(n)).cast("int"))
+        every = F.sequence(F.lit(0), F.floor((n - 1) / wide).cast("int"))
+        block = lambda b: F.sequence(b * wide, F.least(n, (b + 1) * wide) - 1)
+        size = lambda i: F.length(F.get(p["gaps"], i)) + F.length(F.get(p["hits"], i))
+        sums = F.transform(every, lambda b: F.aggregate(block(b), F.lit(0), lambda a, i: a + size(i)))
+        grow = lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+        firsts = F.aggregate(sums, F.struct(F.lit(0).alias("at"), none.alias("out")), grow, lambda a: a["out"])
+
+        def step(a: Column, i: Column) -> Column:
+            return F.struct((a["at"] + size(i)).alias("at"), F.array_append(a["out"], a["at"] + F.length(F.get(p["gaps"], i))).alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        return F.struct((start + F.length(x["token"])).alias("at"), F.array_append(a["out"], F.struct(x["token"].alias("token"), start.alias("start"))).alias("out"))
+        walk = lambda f: F.flatten(F.transform(every, lambda b: F.aggregate(block(b), F.struct(F.get(f, b).alias("at"), none.alias("out")), step, lambda a: a["out"])))
+        return F.when(n == 0, none).otherwise(F.get(F.transform(F.array(firsts), walk), F.lit(0)))
 
-    pairs = F.arrays_zip(hits.alias("token"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    return F.get(F.transform(known, place), F.lit(0))
+
+
+def token_offsets(text: Column, letters: str = LETTERS) -> Column:
+    """``array<struct<token, start>>``: tokens of the text with the place of their first character, from 0; null gives null."""
+    hits, gaps = F.regexp_extract_all(F.lower(text), F.lit(f"[{letters}]+"), F.lit(0)), F.split(F.lower(text), f"[{letters}]+", -1)
+    return F.when(text.isNotNull(), F.arrays_zip(hits.alias("token"), placed(gaps, hits).alias("start")))
 
 
 def strip_tokens(text: Column, letters: str = LETTERS) -> Column:

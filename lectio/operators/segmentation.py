@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import placed
+
 
 def markers(texts: DataFrame, pattern: str, group: int = 1) -> DataFrame:
     """``(unit_id, nth, start, marker, value)``: matches of ``pattern`` with their places (from 0), in order.
@@ -12,14 +14,7 @@ def markers(texts: DataFrame, pattern: str, group: int = 1) -> DataFrame:
     The places come from the lengths of the gaps and the matches before, in built-in functions.
     """
     gaps, hits, values = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
-    none = F.expr("cast(array() as array<int>)")
-
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        return F.struct((start + F.length(x["hit"])).alias("at"), F.array_append(a["out"], start).alias("out"))
-
-    cells = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
-    starts = F.aggregate(cells, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    starts = placed(gaps, hits)
     found = texts.select("unit_id", F.arrays_zip(starts.alias("start"), hits.alias("marker"), values.alias("value")).alias("all"))
     return found.select("unit_id", F.posexplode("all").alias("nth", "m")).select("unit_id", "nth", "m.start", "m.marker", "m.value")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -24,9 +24,10 @@ def word_counts(toks: DataFrame, by: str = "collection") -> DataFrame:
 
 
 def term_share(toks: DataFrame, by: str = "collection") -> DataFrame:
-    """Counts with the total of their book and their share of it."""
-    total = F.sum("n").over(Window.partitionBy(by))
-    return word_counts(toks, by).withColumn("total", total).withColumn("freq", F.col("n") / F.col("total"))
+    """Counts with the total of their book and their share of it. Totals are one row a book and meet the counts by a join, so no task holds a whole book."""
+    totals = toks.groupBy(by).agg(F.count("*").alias("total")).withColumnRenamed(by, "_book")
+    counts = word_counts(toks, by)
+    return counts.join(totals, F.col(by).eqNullSafe(F.col("_book"))).drop("_book").withColumn("freq", F.col("n") / F.col("total"))
 
 
 def document_terms(toks: DataFrame, unit: str = "unit_id", min_df: int = 1) -> DataFrame:

@@ -22,9 +22,23 @@ def long_table(tokens: DataFrame, by: str = "collection") -> DataFrame:
     return V.term_share(tokens, by).select("word", "n", "total", F.format_string("%.10f", "freq").alias("freq"), F.col(by).cast("string").alias("book"))
 
 
+#: Terms of one folder of a matrix; wider tables are no use as CSV and a plan of so many columns does not end.
+BLOCK = 2000
+
+
 def matrix_csv(tokens: DataFrame, path: str, unit: str = "unit_id", min_df: int = 2) -> None:
-    """Document-term matrix; the long form is pivoted only here, over terms found in ``min_df`` documents."""
-    write_csv(V.document_terms(tokens, unit, min_df).groupBy(unit).pivot("term").agg(F.sum("n")).na.fill(0).orderBy(unit), path)
+    """Document-term matrix over terms found in ``min_df`` documents, units in order, terms in order.
+
+    Terms come in blocks of ``BLOCK`` columns, each a folder ``terms-00000`` and on of ``path``; every folder has a
+    row for each unit of the table. The terms' names, not the counts, come to the driver, as columns need them.
+    """
+    counts = V.document_terms(tokens, unit, min_df)
+    terms = [r["term"] for r in counts.select("term").distinct().orderBy("term").collect()]
+    units = tokens.select(unit).distinct()
+    for k in range(0, max(1, len(terms)), BLOCK):
+        some = terms[k : k + BLOCK]
+        wide = counts.where(F.col("term").between(some[0], some[-1])).groupBy(unit).pivot("term", some).agg(F.sum("n")) if some else counts.select(unit).limit(0)
+        write_csv(units.join(wide, unit, "left").na.fill(0).orderBy(unit), f"{path}/terms-{k // BLOCK:05d}")
 
 
 def lemma_texts(tokens: DataFrame) -> DataFrame:
