@@ -155,5 +155,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND NOT (2 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > length(t))
   AND NOT (2 * length(regexp_replace(t, '[\x20\x09-\x0D\p{{L}}]+', '', 'g')) > word_chars)
   AND NOT (word_chars NOT BETWEEN 2 * n_words AND 15 * n_words)
-  AND NOT (10 * (len(string_split(t, chr(10))) - len(list_distinct(string_split(t, chr(10))))) > 4 * len(string_split(t, chr(10)))) AS kept
+  AND NOT (10 * (len(lines) - len(list_distinct(lines))) > 4 * len(lines)) AS kept
 FROM b"""
