@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,13 +50,3 @@ def per_batch(make: Callable[[pa.RecordBatch], dict[str, object]], schema: pa.Sc
             yield pa.RecordBatch.from_arrays([x if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type) for f in schema], schema=schema)
 
     return run
-
-
-class Hashes(dict):
-    """XXH64 of a word, remembered; forgotten when there are very many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
