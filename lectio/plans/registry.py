@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import ship
 from ..functions import text as T
 from ..operators import collation as C
+from ..operators import lemmas as M
 from ..operators import lexicon as L
 from ..operators import reports as R
 from ..operators import search as S
@@ -301,6 +302,46 @@ def lemmatized_tokens(spark, d):
     return rows.join(L.resolve(rows, dictionary(spark, d)), "word", "left").select("unit_id", "seg_ord", "tok_ord", "word", "lemma", "strategy")
 
 
+_PARTICLE = "CASE " + " ".join(f"WHEN word LIKE '%{p}' AND length(word) > {len(p) + 1} THEN '{p}'" for p in L.PARTICLES) + " END"
+_FUSED = "CASE " + " ".join(f"WHEN word LIKE '%{s}' AND length(word) > {len(s) + 2} THEN '{s}'" for s in M.FUSED) + " END"
+_NEGATED = (  # spelling, least length, letters to cut
+    ("word LIKE 'no%'", 5, 2), (f"word LIKE 'na%' AND regexp_matches(word[3], '[^{M.VOWELS}]') AND word[3] = word[4]", 5, 3), (f"regexp_matches(word, '^an[{M.VOWELS}]')", 5, 2),
+    ("word LIKE 'nā%'", 6, 2), (f"regexp_matches(word, '^a[^{M.VOWELS}]') AND word[2] = word[3]", 6, 2), (f"regexp_matches(word, '^a[^{M.VOWELS}]')", 9, 1),
+)
+_NEGATIONS = " ".join(f"UNION ALL SELECT word, 'negation', substring(word, {cut + 1}), 'na' FROM dw WHERE {holds} AND length(word) >= {least}" for holds, least, cut in _NEGATED)
+
+
+@query(f"""WITH {TOK}, dw AS (SELECT DISTINCT word FROM tok WHERE length(word) <= {M.LONGEST}),
+p AS (SELECT word, {_PARTICLE} AS part FROM dw), f AS (SELECT word, {_FUSED} AS part FROM dw WHERE NOT (word LIKE 'aham%' AND length(word) > 6))
+SELECT word, 'nca' AS strategy, {_cut(3)} || 'ṃ' AS base, 'ca' AS part FROM dw WHERE word LIKE '_%ñcā'
+UNION ALL SELECT word, 'particle', CASE WHEN part = 'ca' AND word LIKE '%ñca' THEN {_cut(3)} || 'ṃ' ELSE left(word, length(word) - length(part)) END, part FROM p WHERE part IS NOT NULL
+UNION ALL SELECT word, 'fused_pronoun', substring(word, 5), 'ahaṃ' FROM dw WHERE word LIKE 'aham%' AND length(word) > 6
+UNION ALL SELECT word, 'fused_pronoun', left(word, length(word) - length(part)) || part[1], part FROM f WHERE part IS NOT NULL {_NEGATIONS}""")
+def spelling_splits(spark, d):
+    return M.spelling_splits(toks(spark, d))
+
+
+def whole_lexicon(spark, d):
+    """The benchmark's words as dictionary, those of five letters or more that end in a as names, fixed rules and custom words."""
+    words = dictionary(spark, d)
+    name = (F.length("word") >= 5) & F.col("word").endswith("a")
+    names = words.where(name).select(F.crc32("word").alias("nr"), F.col("word").alias("name"))
+    custom = spark.createDataFrame([("qua", "qua", "ind", None), ("alsdann", None, None, ["als", "dann"])], "word string, lemma string, pos string, parts array<string>")
+    rules = spark.createDataFrame([(k, *r) for k, r in enumerate(RULES)], "nr int, a string, b string, c string, d string, weight int")
+    return M.Lexicon(M.single(words.where(~name)), names, custom, rules)
+
+
+@query()
+def lemma_cascade(spark, d):
+    """The whole cascade over the distinct words of all documents; held by recursion from the top in tests/test_lemmas.py."""
+    return M.lemmatize(toks(spark, d), whole_lexicon(spark, d)).select("word", "lemma", "pos", F.array_join("parts", "+").alias("parts"), F.array_join(F.transform("components", lambda c: F.coalesce(c["lemma"], c["word"])), "+").alias("components"), "strategy")
+
+
+@query()
+def lemma_strategies(spark, d):
+    return M.lemmatize(toks(spark, d), whole_lexicon(spark, d)).groupBy("strategy").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {TOK}, {DIC} SELECT word, count(*) AS n, count(DISTINCT unit_id) AS n_units, min(unit_id) AS first_unit, list_sort(list_distinct(list(unit_id)))[1:5] AS units FROM tok WHERE word NOT IN (SELECT word FROM dic) GROUP BY word")
 def unknown_words(spark, d):
     return R.unknown_words(toks(spark, d), dictionary(spark, d))
