@@ -14,6 +14,7 @@ ROWS = [
     ("deseti", [("deseti", "pr", "√dis")], None), ("santi", [("sa", "adj", None), ("santi", "pr", None)], ["saṃ + iti"]), ("hotīti", [], ["hota + iti", "hoti + iti"]), ("hoti", [("hoti", "pr", None)], None),
     ("jānāti", [("ja", "adj", None), ("jānāti", "pr", None)], ["jānaṃ + iti"]), ("ñāṇa", [("ñāṇa", "nt", None)], None), ("agga", [("agga", "adj", None)], None), ("paṭhama", [("paṭhama", "ordin", None)], None),
     ("gacchāmi", [("gacchati", "pr", "√gam")], None), ("evan", [], []), ("satto", [("satta", "masc", None)], None), ("vicari", [("vicarati", "aor", None)], None), ("stub", None, None),
+    ("labhāmā", [], ["labhaṃ + iti"]), ("labhāma", [("labhati", "pr", None)], None),
 ]
 NAMES = ["gotama", "sujātā", "a b"]
 CUSTOM = [("zzz", "z", "ind", None), ("yyyca", None, None, ["y", "loka"]), ("nolokaxyz", "n", "ind", None)]
@@ -167,7 +168,7 @@ def answers(spark, words, lexicon):
 
 
 def test_cascade_against_recursion(spark, lexicon):
-    worded = "dhammañca dhammañcā evañcā evancaca evanti santi santī hotīti jānāti jānātī gotamena sujātāya gotamaṃ aham ahamgacchāmī sattosmi sattomhī gacchāmī desetvā dese nolokadhamma nappahoti anagga aññāṇa nāloka adhammaloka alokadhamma lokadhamma lokodhammo lokadhammadhamma lokaagga paṭhamajhāna lokavaggo vagga buddhatheraapadāna theriapadānaṃ zzz yyyca nolokaxyz m tan only stub dhammā lokā qq cacaca".split()
+    worded = "dhammañca dhammañcā evañcā evancaca evanti santi santī hotīti jānāti jānātī gotamena sujātāya gotamaṃ aham ahamgacchāmī sattosmi sattomhī gacchāmī desetvā dese nolokadhamma nappahoti anagga aññāṇa nāloka adhammaloka alokadhamma lokadhamma lokodhammo lokadhammadhamma lokaagga paṭhamajhāna lokavaggo vagga buddhatheraapadāna theriapadānaṃ zzz yyyca nolokaxyz m tan only stub dhammā lokā labhāmā dhāmma lokadhāmma qq cacaca".split()
     pieces = [r[0] for r in ROWS] + ["ca", "pi", "na", "no", "a", "an", "ñcā", "osmi", "aham", "ti", "iti", "vaggo", "ā", "o", "gotam", "ena", "x", "ll"]
     draw = random.Random(5)
     words = worded + ["".join(draw.choices(pieces, k=draw.randint(1, 4))) for _ in range(1500)]
