@@ -55,7 +55,7 @@ NEGATION_AT = 130
 class Lexicon:
     """What the cascade looks up. All but the dictionary may be left out; without rules no compound is split.
 
-    ``dictionary(word, headwords, splits)``: one row a word, headwords in order, splits such as ``"a + b"``.
+    ``dictionary(word, headwords, splits)``: one row a word (of several the least), headwords in order, splits as ``"a + b"``.
     ``names(nr, name)``, a later name wins a shared stem. ``custom(word, lemma, pos, parts)``; with parts, these answer.
     ``rules(nr, a, b, c, d, weight)``: where a and b meet, the parts end in c and begin with d.
     """
@@ -299,7 +299,7 @@ def _ask(row: dict) -> Iterator[dict]:
 
 
 def _look(row: dict) -> Iterator[dict]:
-    hits = {h["slot"]: h["entry"] for h in row["hits"]}
+    hits = {h["slot"]: h["entry"] for h in sorted(row["hits"], key=str, reverse=True)}  # of rows under one key the least
     rank, answer = next(((k, a) for k, a in _at_hand(row["word"], hits) if a and (a["lemma"] or a["parts"])), (None, None))
     yield {"word": row["word"], "custom": 5 in hits, "rank": rank, "answer": answer}
 
