@@ -4,7 +4,7 @@ What a word can be split into by its spelling alone (particles, negations, fused
 word, so all remainders are known before anything is looked up: they are looked up together in one join and put
 together again within the word, shortest first. Compounds of what is left open go the same way: one join for all
 spellings that their splits may ask for. No task holds the dictionary. Spelling and choice run in Arrow batches of
-distinct words: as column expressions they were tried first, and took Catalyst over a minute to plan.
+distinct words: as column expressions they took 27 s to build, and a run on 20 words had not ended after 75 s.
 """
 
 from __future__ import annotations
