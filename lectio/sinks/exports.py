@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_latex, is_verse
@@ -17,9 +17,26 @@ def vocabulary_csv(counts: DataFrame, path: str) -> None:
     write_csv(counts.orderBy(F.desc("n"), "word"), path)
 
 
+def ten_places(share: Column) -> Column:
+    """A share from 0 to 1 written to ten places as C's ``%.10f`` does: its exact binary value rounded, ties to even.
+
+    Java's own format rounds the shortest decimals of the double, ties up. The share is split in two halves of 26 bits,
+    whose products with 10^10 are exact, so each side of the comparison with one half is exact too.
+    """
+    scale = 10**10
+    split = share * F.lit(float((1 << 27) + 1))
+    high = split - (split - share)
+    low = share - high
+    whole = F.floor(share * F.lit(float(scale)))
+    left, right = high * F.lit(float(scale)) - whole - F.lit(0.5), -(low * F.lit(float(scale)))
+    up = (left > right) | ((left == right) & (whole % 2 == 1))
+    n = whole + up.cast("long")
+    return F.format_string("%d.%010d", F.floor(n / F.lit(scale)), n % F.lit(scale))
+
+
 def long_table(tokens: DataFrame, by: str = "collection") -> DataFrame:
     """``word, n, total, freq, book`` with the share written to ten places."""
-    return V.term_share(tokens, by).select("word", "n", "total", F.format_string("%.10f", "freq").alias("freq"), F.col(by).cast("string").alias("book"))
+    return V.term_share(tokens, by).select("word", "n", "total", ten_places(F.col("freq")).alias("freq"), F.col(by).cast("string").alias("book"))
 
 
 #: Terms of one folder of a matrix; wider tables are no use as CSV and a plan of so many columns does not end.

@@ -1,5 +1,6 @@
 """Places in long texts, the matrix export beyond a pivot's limit, and shares of books."""
 
+import random
 import re
 import time
 
@@ -33,3 +34,18 @@ def test_shares_of_a_book(spark):
     toks = spark.createDataFrame([("x", "a"), ("x", "a"), ("x", "b"), (None, "a")], "collection string, word string")
     got = {(r["collection"], r["word"]): (r["n"], r["total"], r["freq"]) for r in vocabulary.term_share(toks).collect()}
     assert got == {("x", "a"): (2, 3, 2 / 3), ("x", "b"): (1, 3, 1 / 3), (None, "a"): (1, 1, 1.0)}
+
+
+def test_written_shares_round_as_c_does(spark):
+    toks = spark.range(2048).selectExpr("'x' as collection", "concat('w', greatest(id, 3)) as word")
+    got = {r["word"]: r["freq"] for r in exports.long_table(toks).collect()}
+    assert got["w4"] == "0.0004882812" and got["w3"] == "0.0019531250"  # 1 / 2048 is a tie of ten places
+    random.seed(5)
+    totals = [2**a * 5**b for a in range(30) for b in range(12) if 1 < 2**a * 5**b < 2**40]
+    shares = [0.0, 1.0, 0.5e-10, 1.5e-10, 1 - 0.5e-10, 1 - 2**-53, 2**-33, 2**-34, 2**-60]
+    for _ in range(20_000):
+        total = random.choice(totals) if random.random() < 0.7 else random.randint(1, 10**9)
+        shares.append(random.randint(1, total if random.random() < 0.5 else min(total, 3000)) / total)
+    rows = spark.createDataFrame([(x,) for x in shares], "x double")
+    wrong = [(r["x"], r["s"]) for r in rows.select("x", exports.ten_places(rows["x"]).alias("s")).collect() if r["s"] != "%.10f" % r["x"]]
+    assert wrong == []
