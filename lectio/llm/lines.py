@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .arrowio import utf8
 from .linesets import LEAST, NAMED, SIMILAR, LineSets, Lists, pack, postings, unpacked
-from .sketch import may_hold, members
+from .sketch import may_hold, member_table, members, only_members
 from .tokens import slices
 
 #: Bits of the hash buckets of the rarity counts: 512 KB to every task, whatever the data.
@@ -192,15 +192,18 @@ def _sets(df: DataFrame, sketch, owners) -> DataFrame:
     return df.select("id", "mark", utf8("text")).mapInArrow(run, "id long, number int, mark long, k1 long, k2 long, words array<long>")
 
 
-def _verified(df: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(df: DataFrame, pairs: DataFrame, few: bool = False) -> DataFrame:
     """``(k1, k2, id, number, mark)`` of lines y with a pair (y, x) whose words are similar and whose x comes first; numbers as in postings."""
     num, den = SIMILAR
     spark = df.sparkSession
     plain = lambda n: F.when(F.col(n) < 0, -1 - F.col(n)).otherwise(F.col(n))
     places = pairs.select(F.explode(F.array(_placed(F.col("y"), plain("yn")), _placed(F.col("x"), plain("xn")))).alias("place"))
     sketch = spark.sparkContext.broadcast(members(places))
-    owners = spark.sparkContext.broadcast(members(pairs.select(F.explode(F.array("y", "x")).alias("id"))))
-    sets = scratch.cut(_sets(df, sketch, owners), "sets")
+    ids = pairs.select(F.explode(F.array("y", "x")).alias("id"))
+    owners = spark.sparkContext.broadcast(members(ids))
+    # the first round asks for most texts, later ones for few, which then are picked before they reach Python
+    some = only_members(df, member_table(ids), F.coalesce(F.col("id"), F.lit(0).cast("long"))) if few else df
+    sets = scratch.cut(_sets(some, sketch, owners), "sets", hashes=True)
     x = sets.select(F.col("id").alias("x"), F.col("number").alias("xn"), F.col("mark").alias("xm"), F.col("words").alias("wx"))
     y = sets.select(F.col("id").alias("y"), F.col("number").alias("yn"), F.col("mark").alias("ym"), "k1", "k2", F.col("words").alias("wy"))
     place = lambda i, n, m: F.struct(F.col(n) >= 0, F.col(i), plain(n), F.col(m))
@@ -233,7 +236,7 @@ def _late(df: DataFrame, classes: DataFrame, counts: np.ndarray) -> DataFrame:
         keys = spark.sparkContext.broadcast(members(open_.select("key")))
         more = _candidates(_packed(classes, units, hot, keys), asking, skip, take)
         last = scratch.cut(more.join(open_.select("y", "yn").distinct(), ["y", "yn"], "left_semi"), "more")
-        fresh = scratch.cut(_verified(df, scratch.cut(last.select(*pair).distinct(), "pairs")), "found")
+        fresh = scratch.cut(_verified(df, scratch.cut(last.select(*pair).distinct(), "pairs"), few=True), "found")
         found = found.unionByName(fresh)
         skip, take = skip + take, take * 16
 
@@ -266,7 +269,7 @@ def removed_lines(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     counts, rank = _rarity(df)
     rarity = spark.sparkContext.broadcast((counts, rank))
-    classes = scratch.cut(_classes(df, rarity), "classes")
+    classes = scratch.cut(_classes(df, rarity), "classes", hashes=True)
     found = _late(df, classes, counts)
     number = F.when(F.col("number") < 0, -1 - F.col("number")).otherwise(F.col("number"))
     place = F.struct(F.when(F.col("number") >= 0, F.col("id")).alias("id"), number.alias("number"), "mark")

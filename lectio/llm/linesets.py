@@ -29,8 +29,7 @@ class HashSets:
         new = np.r_[True, owner[1:] != owner[:-1]][: len(h)]
         line, first = np.cumsum(new) - 1, np.flatnonzero(new)
         self.owner = owner[first]
-        order = _by_line(line, h, len(first))
-        h, line = h[order], line[order]
+        h = _by_line(line, h, len(first))
         new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])][: len(h)]
         #: Per member of a set: its hash and the set, by set, then hash.
         self.hash, self.line = h[new], line[new]
@@ -100,12 +99,13 @@ class LineSets(HashSets):
 
 
 def _by_line(line: np.ndarray, h: np.ndarray, lines: int) -> np.ndarray:
-    """The order by line, then hash: one sort on line and leading hash bits, the rest only where those tie."""
+    """The hashes by line, in order within each; ``line`` is in order. One sort on line and leading hash bits, another only where those tie."""
     spare = _U(max(1, int(lines).bit_length()))
     key = line.astype(np.uint64) << (_U(64) - spare) | h >> spare
     order = np.argsort(key)
-    tied = (key[order][1:] == key[order][:-1]) & (h[order][1:] != h[order][:-1])
-    return np.lexsort((h, line)) if tied.any() else order
+    key, out = key[order], h[order]
+    tied = (key[1:] == key[:-1]) & (out[1:] != out[:-1])
+    return h[np.lexsort((h, line))] if tied.any() else out
 
 
 #: One posting: a class of equal lines, known by the place of its first line, under one key.

@@ -1,8 +1,9 @@
 """Words of many texts as arrays: places, line numbers and 64-bit hashes, without a Python object per word.
 
-A word is a run of bytes other than space and U+0009 to U+000D. Its hash is a polynomial over a table of random
-64-bit numbers, one for each byte, taken from prefix sums over the whole buffer and mixed with the word's length;
-it depends on the word's bytes alone. Two words of one comparison collide with a chance of about one in 2^60.
+A word is a run of bytes other than space and U+0009 to U+000D. Its hash depends on its bytes alone. Words of up to
+``SHORT`` bytes are mixed eight bytes at a time, the length first; words of one length of up to eight bytes never
+collide. Of longer ones it is a polynomial over a table of random 64-bit numbers, one for each byte, taken from prefix
+sums over the buffer and mixed with the length. Two words of one comparison collide with a chance of about one in 2^60.
 """
 
 from __future__ import annotations
@@ -17,13 +18,19 @@ STEP = 1 << 16
 #: Bytes of text that ``slices`` hands out at once; a longer text comes alone.
 PART = 1 << 20
 
+#: Words of so many bytes at most are hashed eight bytes at a time.
+SHORT = 64
+
 _BASE, _U = 0x9E3779B97F4A7C17, np.uint64
 _random = np.random.Generator(np.random.PCG64(42))
 _TABLE = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
 _FOLDED = _TABLE.copy()
 _FOLDED[65:91] = _TABLE[97:123]
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: The bits of the first bytes of eight, by their number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+_SIZE = _U(0xC6A4A7935BD1E995)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -62,13 +69,29 @@ def run_hashes(own: np.ndarray, width: int) -> np.ndarray:
     return mixed(out + _U(width))
 
 
+def short_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the words of up to ``SHORT`` bytes at ``start``; those of longer words mean nothing."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    out = eight[start]
+    out &= _FIRST[np.minimum(size, 8)]
+    out += size.astype(_U) * _SIZE
+    out = mixed(out)
+    at, more = 8, np.flatnonzero((size > 8) & (size <= SHORT))
+    while len(more):
+        out[more] = mixed(out[more] + (eight[start[more] + at] & _FIRST[np.minimum(size[more] - at, 8)]))
+        at += 8
+        more = more[size[more] > at]
+    return out
+
+
 class Words:
     """The words of consecutive texts in one buffer; ``offsets`` has a bound more than there are texts."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False):
         self.data, self.offsets = data, offsets
         table = _FOLDED if fold else _TABLE
-        space = _IS_SPACE[data]
+        space = (data == 32) | (data - np.uint8(9) < 5)
         edges = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(data) and not space[0]:
             edges = np.r_[0, edges]
@@ -78,18 +101,21 @@ class Words:
         inner = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
         inner = inner[~space[inner] & ~space[inner - 1]]
         if len(inner):  # two texts that meet without white space
-            self.start, self.stop = np.sort(np.r_[self.start, inner]), np.sort(np.r_[self.stop, inner])
-        self.hash = np.empty(len(self.start), _U)
+            self.start, self.stop = (np.insert(x, np.searchsorted(x, inner), inner) for x in (self.start, self.stop))
+        size = self.stop - self.start
+        self.hash = short_hashes(_LOWER[data] if fold else data, self.start, size)
+        long = np.flatnonzero(size > SHORT)
+        start, stop = self.start[long], self.stop[long]
         at = 0
-        while at < len(self.start):
-            low = int(self.start[at])
-            to = max(at + 1, int(np.searchsorted(self.stop, low + STEP, side="right")))
-            high = int(self.stop[to - 1])
+        while at < len(long):
+            low = int(start[at])
+            to = max(at + 1, int(np.searchsorted(stop, low + STEP, side="right")))
+            high = int(stop[to - 1])
             up, down = powers(high - low)
             sums = np.zeros(high - low + 1, _U)
             np.cumsum(table[data[low:high]] * up, out=sums[1:])
-            a, z = self.start[at:to] - low, self.stop[at:to] - low
-            self.hash[at:to] = mixed((sums[z] - sums[a]) * down[a] + (z - a).astype(_U))
+            a, z = start[at:to] - low, stop[at:to] - low
+            self.hash[long[at:to]] = mixed((sums[z] - sums[a]) * down[a] + (z - a).astype(_U))
             at = to
         #: The words of text i are ``bounds[i]`` to ``bounds[i + 1]``.
         self.bounds = np.searchsorted(self.start, offsets)
@@ -98,7 +124,7 @@ class Words:
         """For each word its text, and the number of its line in the text, from 0."""
         breaks = np.flatnonzero(self.data == 10)
         owner = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.bounds))
-        before = np.searchsorted(breaks, self.start)
+        before = np.repeat(np.arange(len(breaks) + 1), np.diff(np.r_[0, np.searchsorted(self.start, breaks), len(self.start)]))
         return owner, before - np.searchsorted(breaks, self.offsets[:-1])[owner]
 
     def joined(self, keep: np.ndarray, text: int) -> bytes:
